@@ -1,11 +1,20 @@
 """One query per operator, over its whole table, and DuckDB SQL where that can express it."""
 
+from .chat import OP4_SQL, op4_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .secret_scan import op9_secret_scan
+from .sentence_pieces import op10_sentence_pieces
+from .token_rollup import op1_token_rollup
 
 QUERIES = {
+    "op1_token_rollup": op1_token_rollup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_chat_format": op4_chat_format,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }
 
 ORACLE_SQL = {
     "op3_decontaminate": OP3_SQL,
+    "op4_chat_format": OP4_SQL,
 }
