@@ -2,14 +2,18 @@
 
 from .chat import OP4_SQL, op4_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .quality import op5_quality
 from .secret_scan import op9_secret_scan
 from .sentence_pieces import op10_sentence_pieces
 from .token_rollup import op1_token_rollup
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
+    "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
