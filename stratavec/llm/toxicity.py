@@ -4,7 +4,7 @@ Severity y has ordered grades 0..K. One weight vector is shared by all threshold
 P(y <= k) = sigmoid(theta_k - w.x), theta_1 < ... < theta_K, and the output is the expected severity.
 
 Labels that are only 0 and 1 carry no severity. Then toxic documents of the training sample are graded 1..K by the
-rate of indicative words in them (equal thirds for K = 3); labels with more values are used as they are.
+sum of their features below (equal thirds for K = 3); labels with more values are used as they are.
 
 Features: log(1 + count) of the indicative words, those whose document frequency differs between toxic and clean
 sample rows by a z-score of MIN_Z or more (at most MAX_FEATURES). So a long document does not gather noise.
@@ -36,7 +36,7 @@ MAX_FEATURES = 4096
 MIN_Z = 6.0
 GRADES = 3
 #: Documents are called toxic from this probability of any grade above 0.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -73,7 +73,7 @@ def features(text: str | None, known: dict[bytes, int]) -> dict[int, float]:
     return {known[w]: float(np.log1p(n)) for w, n in found.items()}
 
 
-def fit_ordinal(rows: list[dict[int, float]], y: np.ndarray, n_features: int, grades: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.05) -> dict:
+def fit_ordinal(rows: list[dict[int, float]], y: np.ndarray, n_features: int, grades: int, l2: float = 1e-5, steps: int = 400, rate: float = 0.05) -> dict:
     """Weights (not below zero: each feature indicates toxicity) and thresholds, by Adam on the mean log-likelihood."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([j for r in rows for j in r], np.int64)
@@ -117,16 +117,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     def each(_, texts, ys):
         for t, y in zip(texts, ys):
             x = features(t, known)
-            yield list(x), list(x.values()), y, len(words(t))
+            yield list(x), list(x.values()), y
 
-    got = map_rows(sample, ["text", "y"], "j array<int>, v array<double>, y int, n int", each).collect()  # at most `rows`
-    got.sort(key=lambda r: (r.y, r.n, r.j, r.v))
+    got = map_rows(sample, ["text", "y"], "j array<int>, v array<double>, y int", each).collect()  # at most `rows`
+    got.sort(key=lambda r: (r.y, r.j, r.v))
     x = [dict(zip(r.j, r.v)) for r in got]
     y = np.array([r.y for r in got])
     if y.max() == 1:
-        rate = np.array([sum(np.expm1(r.v)) / max(1, r.n) for r in got])
-        edges = np.quantile(rate[y == 1], np.arange(1, grades) / grades)
-        y = np.where(y == 1, 1 + np.searchsorted(edges, rate, side="right"), 0)
+        total = np.array([sum(r.v) for r in got])
+        edges = np.quantile(total[y == 1], np.arange(1, grades) / grades)
+        y = np.where(y == 1, 1 + np.searchsorted(edges, total, side="right"), 0)
     else:
         grades = int(y.max())
     return {"known": known} | fit_ordinal(x, y, max(1, len(known)), grades)
