@@ -2,6 +2,8 @@
 
 from .chat import OP4_SQL, op4_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .near_dedup import op8_near_duplicates
+from .neighbours import op6_nearest_neighbours
 from .quality import op5_quality
 from .secret_scan import op9_secret_scan
 from .sentence_pieces import op10_sentence_pieces
@@ -13,7 +15,9 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_toxicity": op7_toxicity,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_secret_scan": op9_secret_scan,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
