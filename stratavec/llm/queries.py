@@ -7,11 +7,13 @@ from .neighbours import op6_nearest_neighbours
 from .quality import op5_quality
 from .secret_scan import op9_secret_scan
 from .sentence_pieces import op10_sentence_pieces
+from .suffix_dedup import op2_suffix_dedup
 from .token_rollup import op1_token_rollup
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
