@@ -83,6 +83,21 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, each: Callable[...,
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, keep: Callable[[object, str | None], bool], setup: Callable | None = None, bytes_at_once: int = 8_000_000) -> DataFrame:
+    """The rows of df, with all their columns, for which keep(state, value of column) holds."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = setup() if setup else None
+        for batch in batches:
+            step = max(1, int(bytes_at_once * batch.num_rows / max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                yield part.filter(pa.array([keep(state, v) for v in part.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def broadcast_bytes(spark: SparkSession, value, n_bytes: int, limit: int, what: str):
     """A broadcast of value, whose size has been measured as n_bytes and must not be over limit."""
     if n_bytes > limit:

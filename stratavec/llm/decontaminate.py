@@ -17,7 +17,6 @@ item_id is reported as 'null'. An empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, map_rows, table
+from .common import broadcast_bytes, filter_rows, map_rows, table
 
 WIDTH = 10
 #: Bytes of benchmark text that one block holds, as planned; a block may be broadcast up to four times that.
@@ -102,9 +101,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, the merged hit spans as word positions (starts, ends), and the hit items' ids;
-    with keep, the named columns of docs come first instead of doc_id."""
+def broadcast_indexes(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> list:
+    """The benchmark's windows by their rarest word in docs: one broadcast per block of the benchmark."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
@@ -117,32 +115,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
         vocabulary = frozenset(w for _, ws in got for w in ws)
         rarity = document_frequency(docs, broadcast_bytes(spark, vocabulary, size, 4 * block_bytes, "benchmark block")) if vocabulary else {}
         blocks.append(broadcast_bytes(spark, _index(got, rarity, width), size, 4 * block_bytes, "benchmark block"))
+    return blocks
 
-    from pyspark.sql.types import StructType
 
-    keep = keep or ["doc_id"]
-    texts = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    text_at = texts.columns.index("text")
-    fixed = [f for f in texts.schema.fields if f.name in keep]
-    schema = StructType(fixed + StructType.fromDDL(HITS).fields[1:]).simpleString()[7:-1]
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: doc_id, n_words, the merged hit spans as word positions (starts, ends), and the hit items' ids."""
+    blocks = broadcast_indexes(docs, benchmark, width, block_bytes)
 
-    def each(indexes, *columns):
-        for row in zip(*columns):
-            ws = words(row[text_at])
+    def each(indexes, ids, texts):
+        for i, text in zip(ids, texts):
+            ws = words(text)
             spans, items = [], set()
             for index in indexes:
-                s, i = _match(ws, index.value)
+                s, found = _match(ws, index)
                 spans += s
-                items |= i
+                items |= found
             spans = _merge(spans)
-            yield (*row[: len(keep)], len(ws), [s for s, _ in spans], [e for _, e in spans], sorted(items))
+            yield i, len(ws), [s for s, _ in spans], [e for _, e in spans], sorted(items)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed) + ", " + HITS.split(", ", 1)[1]
-    return map_rows(texts, texts.columns, ddl, each, setup=lambda: blocks)
+    return map_rows(docs, ["doc_id", "text"], HITS, each, setup=lambda: [b.value for b in blocks])
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which no window occurs."""
+    blocks = broadcast_indexes(docs, benchmark, width, block_bytes)
+
+    def keep(indexes, text):
+        ws = words(text)
+        return not any(_match(ws, index)[0] for index in indexes)
+
+    return filter_rows(docs, "text", keep, setup=lambda: [b.value for b in blocks])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

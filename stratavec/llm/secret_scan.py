@@ -206,6 +206,25 @@ def redact(text: str | None, threshold: dict, mark: str = "[SECRET]") -> str | N
     return "".join(out) + text[at:]
 
 
+def redacted(docs: DataFrame, fdr: float = FDR, mark: str = "[SECRET]") -> DataFrame:
+    """The documents with all their columns, secrets in text replaced by mark, and n_chars, if there, counted anew."""
+    threshold = fit_threshold(docs, fdr)
+    columns, schema = docs.columns, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(8_000_000 * batch.num_rows / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                texts = [redact(t, threshold, mark) for t in part.column(columns.index("text")).to_pylist()]
+                new = dict(zip(columns, part.columns)) | {"text": pa.array(texts, pa.string())}
+                if "n_chars" in new:
+                    new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.column(columns.index("n_chars")).type)
+                yield pa.RecordBatch.from_arrays([new[c] for c in columns], names=columns)
+
+    return docs.mapInArrow(run, schema)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import filter_rows, map_rows, table
 from .decontaminate import words
 
 #: The fit's bound: labelled rows in the sample.
@@ -152,6 +152,13 @@ def score(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) ->
     return map_rows(docs, ["doc_id", "text"], "doc_id bigint, severity double, p_toxic double, grade int, toxic boolean", each)
 
 
+def without_toxic(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that are not called toxic."""
+    if model is None:
+        return docs
+    return filter_rows(docs, "text", lambda _, t: grade_probabilities(model, features(t, model["known"]))[0] < threshold)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
