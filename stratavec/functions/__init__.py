@@ -1 +1 @@
-
+"""Column-level building blocks."""

@@ -1 +1 @@
-
+"""Operators over vectors (vec, pos, v)."""

@@ -1 +1 @@
-
+"""Registered queries and plan helpers."""
