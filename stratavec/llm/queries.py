@@ -7,7 +7,7 @@ from .neighbours import op6_nearest_neighbours
 from .quality import op5_quality
 from .secret_scan import op9_secret_scan
 from .sentence_pieces import op10_sentence_pieces
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .token_rollup import op1_token_rollup
 from .toxicity import op7_toxicity
 
@@ -25,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
     "op4_chat_format": OP4_SQL,
 }

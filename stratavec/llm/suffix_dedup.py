@@ -353,3 +353,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, doc_id, i, b[i + 1:i + 50] AS s FROM (SELECT rid, doc_id, b, unnest(range(0, octet_length(b) - 49)) AS i FROM d WHERE octet_length(b) >= 50)),
+g AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT rid, i FROM w JOIN g USING (s) WHERE m < doc_id),
+cut AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hit),
+grp AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM cut),
+r AS (SELECT rid, min(i) AS s, max(i) + 50 AS e FROM grp GROUP BY rid, k),
+seg AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS a, s AS z FROM r
+        UNION ALL SELECT d.rid, coalesce(max(e), 0), any_value(octet_length(b)) FROM d LEFT JOIN r ON d.rid = r.rid GROUP BY d.rid),
+kept AS (SELECT seg.rid, string_agg(CASE WHEN z > a THEN hex(b[a + 1:z]) ELSE '' END, '' ORDER BY a) AS h FROM seg JOIN d ON d.rid = seg.rid GROUP BY seg.rid),
+n AS (SELECT rid, sum(e - s) AS n_removed, count(*) AS n_spans FROM r GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept ON d.rid = kept.rid LEFT JOIN n ON d.rid = n.rid
+"""
