@@ -143,7 +143,7 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).alias("estimate"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
     counted = saved(count_tokens(docs, ["doc_id", "source", "lang", "estimate", "hash"]), "tokens")
     version = TOKENIZER.rsplit("/", 1)[-1].split(".")[0]
-    first = counted.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("hash", "first_id")
+    first = saved(counted.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("hash", "first_id"), "first")
     copies = counted.join(first, "hash").where(F.col("doc_id") > F.col("first_id"))
     rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
     batches = {
