@@ -279,3 +279,52 @@ def encode_sections(df: DataFrame, kind: str) -> DataFrame:
 
     rows = df.groupBy("vec", F.shiftright("pos", 8).alias("sect")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))  # 256 at most
     return rows.select("vec", "sect", encode(F.transform("s", lambda x: F.coalesce(x["v"], F.lit(0)))).alias("encoded"))
+
+
+#: Format codes of packed histograms.
+HISTOGRAM_EMPTY, GEOMETRIC_DELTA, GEOMETRIC_1_DELTA = 0, 1, 2
+_HISTOGRAM = "<BHHdd"  # format, bytes of the bucket definition with the bucket count, buckets, first bound, multiplier
+
+
+def pack_histogram(initial: float, multiplier: float, counts: list[int], code: int = GEOMETRIC_DELTA) -> bytes:
+    """A geometric histogram; the counts are those of single buckets, which readers sum up."""
+    return struct.pack(_HISTOGRAM, code, 18, len(counts), initial, multiplier) + pack(counts)
+
+
+def unpack_histogram(data: bytes) -> tuple[float, float, list[int]]:
+    """(first bound, multiplier, cumulative counts)."""
+    if len(data) < struct.calcsize(_HISTOGRAM):
+        raise InputTooShort("no histogram header")
+    code, size, n, initial, multiplier = struct.unpack_from(_HISTOGRAM, data)
+    if code not in (GEOMETRIC_DELTA, GEOMETRIC_1_DELTA) or size != 18:
+        raise InvalidFormat(f"histogram format {code}")
+    return initial, multiplier, unpack_deltas(data[3 + size :], n)[:n]
+
+
+def write_chunks(parts: Iterable[tuple[bytes, int]], code: int, max_elements: int, max_bytes: int = 65535) -> bytes:
+    """Variable-size sections: parts of (bytes, elements) one after the other, each section with at most so many
+    elements and bytes, behind a header of its bytes, elements and type."""
+    out, body, n = [], b"", 0
+    for data, elements in parts:
+        if len(data) > max_bytes or elements > max_elements:
+            raise InvalidNumRows(f"a part of {len(data)} bytes and {elements} elements fits no section")
+        if body and (len(body) + len(data) > max_bytes or n + elements > max_elements):
+            out.append(struct.pack("<HHB", len(body), n, code) + body)
+            body, n = b"", 0
+        body, n = body + data, n + elements
+    if body or n:
+        out.append(struct.pack("<HHB", len(body), n, code) + body)
+    return b"".join(out)
+
+
+def read_chunks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(type, elements, bytes) of each variable-size section."""
+    at = 0
+    while at < len(data):
+        if at + 5 > len(data):
+            raise InputTooShort("no section header")
+        size, n, code = struct.unpack_from("<HHB", data, at)
+        if at + 5 + size > len(data):
+            raise InputTooShort("section is cut off")
+        yield code, n, data[at + 5 : at + 5 + size]
+        at += 5 + size

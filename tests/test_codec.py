@@ -103,3 +103,25 @@ def test_files(spark, tmp_path):
     assert C.read_matching(spark, str(tmp_path), "u32", [1]).count() == 302
     encoded = C.encode_sections(make(spark, list(range(300))), "u64").orderBy("sect").collect()
     assert bytes(encoded[0].encoded) == C.encode_section("u64", list(range(256)))
+
+
+def test_histogram_bytes():
+    data = C.pack_histogram(2.0, 1.5, [1, 0, 5, 9] * 4)
+    assert data[:5] == bytes.fromhex("0112001000") and len(data) > 21
+    assert C.unpack_histogram(data) == (2.0, 1.5, [sum(([1, 0, 5, 9] * 4)[: i + 1]) for i in range(16)])
+    with pytest.raises(InputTooShort):
+        C.unpack_histogram(data[:10])
+
+
+def test_variable_sections():
+    parts = [(bytes([i]) * 8, 8) for i in range(40)]
+    data = C.write_chunks(parts, C.PACKED, max_elements=256)
+    got = list(C.read_chunks(data))
+    assert [(c, n) for c, n, _ in got] == [(C.PACKED, 256), (C.PACKED, 64)]
+    assert b"".join(b for _, _, b in got) == b"".join(b for b, _ in parts)
+    assert [n for _, n, _ in C.read_chunks(C.write_chunks([(b"x" * 40_000, 1)] * 3, C.PACKED, 256))] == [1, 1, 1]
+    assert C.write_chunks([], C.PACKED, 256) == b""
+    with pytest.raises(InvalidNumRows):
+        C.write_chunks([(b"x" * 70_000, 1)], C.PACKED, 256)
+    with pytest.raises(InputTooShort):
+        list(C.read_chunks(data[:-1]))
