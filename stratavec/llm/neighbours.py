@@ -33,6 +33,7 @@ from .common import broadcast_bytes, saved, table
 
 #: The index's bound: vectors in the sample that centroids are fitted on.
 SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 64_000_000
 MAX_LISTS = 4096
 LIST_ROWS = 128
 REPLICAS = 4
@@ -137,9 +138,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def fit_index(vectors: DataFrame, n: int) -> dict | None:
-    """{'c': centroids, 'graph', 'dim'} from a bounded sample of the usable rows."""
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toPandas().embedding
+def fit_index(vectors: DataFrame) -> dict | None:
+    """{'c': centroids, 'graph', 'dim'} from a sample of the usable rows, bounded in rows and bytes."""
+    n, longest = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    rows = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * longest)))
+    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").toPandas().embedding
     if not len(got):
         return None
     dims = pd.Series([len(v) for v in got])
@@ -216,7 +219,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row for which `queries` holds."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    model = fit_index(rows, rows.count())
+    model = fit_index(rows)
     if model is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.where(F.size("embedding") == model["dim"])
