@@ -43,28 +43,26 @@ def float_section_types(stats: DataFrame) -> DataFrame:
 
 
 def octets(df: DataFrame) -> DataFrame:
-    """vec, sect, t, oct, nz, low_nibbles, width: per octet the non-zero elements, trailing zero nibbles and nibbles kept,
-    after the section's own delta."""
+    """vec, sect, t, oct, n, nz, low_nibbles, width: per octet its elements, the non-zero ones, trailing zero nibbles and
+    nibbles kept, after the section's own delta."""
     v = F.when(F.col("t") == "DeltaNPMedium", F.col("v") - F.col("mn")).otherwise(F.col("v"))
-    per = _typed(df).withColumn("d", v).groupBy("vec", "sect", "t", octet().alias("oct")).agg(F.bit_or("d").alias("ob"), F.count_if(F.col("d") != 0).alias("nz"))
-    trailing = F.when(F.col("ob") == 0, F.lit(0)).otherwise(F.floor(trailing_zeros(F.col("ob")) / 4)).cast("bigint")
-    width = F.when(F.col("ob") == 0, F.lit(0)).otherwise(nibbles(F.col("ob")) - trailing).cast("bigint")
-    return per.select("vec", "sect", "t", "oct", "nz", trailing.alias("low_nibbles"), width.alias("width"))
+    per = _typed(df).withColumn("d", v).groupBy("vec", "sect", "t", octet().alias("oct")).agg(F.bit_or("d").alias("ob"), F.count_if(F.col("d") != 0).alias("nz"), F.count("*").alias("n"))
+    low = F.when(F.col("ob") == 0, F.lit(0)).otherwise(F.floor(trailing_zeros(F.col("ob")) / 4)).cast("bigint")
+    width = F.when(F.col("ob") == 0, F.lit(0)).otherwise(nibbles(F.col("ob")) - low).cast("bigint")
+    return per.select("vec", "sect", "t", "oct", "n", "nz", low.alias("low_nibbles"), width.alias("width"))
 
 
 def section_bytes(df: DataFrame, width: int = 8) -> DataFrame:
-    """vec, sect, t, bytes, for elements of `width` bytes."""
+    """vec, sect, t, n, bytes, for elements of `width` bytes."""
     size = F.when(F.col("nz") == 0, F.lit(1)).otherwise(2 + F.ceil(F.col("nz") * F.col("width") / 2))
     body = F.sum(size) + F.lit(32) - F.count("*")
     total = F.when(F.col("t") == "Null", F.lit(1)).when(F.col("t") == "Constant", F.lit(1 + width)).when(F.col("t") == "DeltaNPMedium", 12 + body).otherwise(3 + body)
-    return octets(df).groupBy("vec", "sect", "t").agg(total.cast("bigint").alias("bytes"))
+    return octets(df).groupBy("vec", "sect", "t").agg(F.sum("n").alias("n"), total.cast("bigint").alias("bytes"))
 
 
 def vector_stats(df: DataFrame, width: int = 8) -> DataFrame:
     """vec, n, bytes, n_sections, null_sections."""
-    n = df.groupBy("vec", section().alias("sect")).agg(F.count("*").alias("n"))
-    per = section_bytes(df, width).join(n, ["vec", "sect"])
-    return per.groupBy("vec").agg(
+    return section_bytes(df, width).groupBy("vec").agg(
         F.sum("n").alias("n"), (F.sum("bytes") + HEADER_BYTES).alias("bytes"), F.count("*").alias("n_sections"), F.count_if(F.col("t") == "Null").alias("null_sections")
     )
 

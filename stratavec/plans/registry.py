@@ -264,12 +264,12 @@ def float_section_types(spark, sf_dir):
 
 @_query(f"{_OCTETS} SELECT vec, sect, t, oct, nz, CAST(low AS BIGINT) AS low_nibbles, CAST(width AS BIGINT) AS width FROM om")
 def octet_meta(spark, sf_dir):
-    return E.octets(four_vectors(spark, sf_dir))
+    return E.octets(four_vectors(spark, sf_dir)).drop("n")
 
 
 @_query(f"{_OCTETS} SELECT vec, sect, t, bytes FROM zb")
 def section_bytes(spark, sf_dir):
-    return E.section_bytes(four_vectors(spark, sf_dir))
+    return E.section_bytes(four_vectors(spark, sf_dir)).drop("n")
 
 
 _VECTOR_STATS = f"{_OCTETS}, vs AS (SELECT zb.vec, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bytes) + 16 AS BIGINT) AS bytes, count(*) AS n_sections, count(*) FILTER (t = 'Null') AS null_sections FROM zb JOIN st ON zb.vec = st.vec AND zb.sect = st.sect GROUP BY 1)"

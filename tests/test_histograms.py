@@ -55,3 +55,27 @@ def test_stream(spark, tmp_path):
     assert [r.ts for r in got] == [0, 1, 2, 3]
     assert list(got[1].n) == [b - a for a, b in zip(SNAPSHOTS[0], SNAPSHOTS[1])]
     assert [r.value_dropped for r in got] == [False, False, False, True] and list(got[3].n) == [0] * 12
+
+
+def test_stream_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratavec.streaming.histograms import stream_section_counts
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(2):
+        pd.DataFrame({"vec": ["v"] * 200, "pos": range(k * 200, k * 200 + 200), "v": [i % 4 for i in range(200)]}).to_parquet(source / f"{k}.parquet")
+    stream = spark.readStream.schema("vec string, pos bigint, v bigint").option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = stream_section_counts(stream, F.col("v") == 3).writeStream.format("memory").outputMode("complete").queryName("counts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.sect, r.n, r.hits) for r in spark.sql("SELECT * FROM counts ORDER BY sect").collect()] == [(0, 256, 64), (1, 144, 36)]
+
+
+def test_section_sizes_take_one_shuffle(spark):
+    from stratavec.operators import encoding as E
+
+    df = spark.range(1000).selectExpr("'v' AS vec", "id AS pos", "id % 7 AS v")
+    plan = E.section_bytes(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
