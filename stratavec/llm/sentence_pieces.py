@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,9 @@ SHARPNESS = 0.4
 #: Stand inside the lattice for a literal mark of the text and for the gap between words. Lone surrogates are in no text.
 _LITERAL, _GAP = "\ud800", "\ud801"
 VOCABULARY_BYTES = 16_000_000
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
+#: Lattices of words are kept between slices up to about so many edges.
+KEPT_EDGES = 7_000_000
 
 
 def read_vocabulary(model: str = MODEL) -> list[tuple[int, str, bool]]:
@@ -59,6 +61,7 @@ class Sampler:
         self.bytes_of: dict[int, bytes] = {}
         self.byte_ids = [0] * 256
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.single = np.full(0x110000, -1, np.int32)
         self.ids, self.lengths, weights = [], [], []
         size = max(i for i, _, _ in vocabulary) + 1
         for i, piece, is_byte in vocabulary:
@@ -69,35 +72,55 @@ class Sampler:
             if re.search(f"[^{MARK}][{MARK}\n]|\n.", piece):
                 raise ValueError(f"piece {i} crosses a word's end")
             self.bytes_of[i] = piece.replace(MARK, " ").encode()
-            self.trie.add_word(piece, len(self.ids))
+            if len(piece) == 1:  # these are looked up by their code point
+                self.single[ord(piece)] = len(self.ids)
+            else:
+                self.trie.add_word(piece, len(self.ids))
             self.ids.append(i)
             self.lengths.append(len(piece))
             weights.append(-sharpness * np.log(i + 1.0))
         self.trie.make_automaton()
-        self.single = {p for _, p, b in vocabulary if not b and len(p) == 1}
         self.byte_weight = -sharpness * np.log(size + 1.0)
         self.ids, self.lengths, self.weights = np.array(self.ids), np.array(self.lengths), np.array(weights)
         self._words = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-        self._odd = re.compile("[^" + re.escape("".join(sorted(self.single))) + "]")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.kept = {"first": np.zeros(1, np.int64), "rank": np.zeros(0, np.int32), "start": np.zeros(0, np.int32), "search": np.zeros(0), "tokens": np.zeros(0, np.int32), "cut": np.zeros(0, np.int32), "last": np.zeros(0, np.int32)}
+        self.extra: list[bytes] = []
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds the lattices of new words to those that are kept."""
+        g, k = self.lattice(words), self.kept
+        nodes, edges, ranked, extra = k["first"][-1], len(k["start"]), len(k["cut"]), len(self.extra)
+        moved = {
+            "first": g["first"][1:] + nodes, "rank": np.where(g["rank"] >= 0, g["rank"] + ranked, -1)[:-1], "start": g["start"] + nodes, "search": g["search"] + ranked,
+            "tokens": np.where(g["tokens"] < 0, g["tokens"] - extra, g["tokens"]), "cut": g["cut"] + edges, "last": g["last"] + edges,
+        }
+        self.kept = {x: np.concatenate([k[x], v]).astype(k[x].dtype) for x, v in moved.items()}
+        self.extra += g["extra"]
 
     def lattice(self, words: list[str]) -> dict:
         """Nodes and edges of all words, one after the other, with the forward pass's posterior of each edge."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate([[0], np.cumsum(sizes + 1)])  # each word's first node; the last one is its end
         joined = _GAP.join(words)  # one character between words: its node is the next word's first
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        alone = self.single[code]
+        places = np.flatnonzero(alone >= 0)
+        odd = np.flatnonzero((alone < 0) & (code != ord(_GAP)))
+        extra = [(MARK if joined[o] == _LITERAL else joined[o]).encode() for o in odd.tolist()]
         ends, which = np.fromiter(chain.from_iterable(self.trie.iter(joined)), np.int64).reshape(-1, 2).T
+        ends, which = np.concatenate([ends, places]), np.concatenate([which, alone[places]])
         end, start = ends + 1, ends + 1 - self.lengths[which]
         weight, tokens_at = self.weights[which], which
-        odd = np.array([m.start() for m in self._odd.finditer(joined) if m.group() != _GAP], np.int64)
-        extra = [(MARK if joined[o] == _LITERAL else joined[o]).encode() for o in odd.tolist()]
-        n = len(which)
         end, start = np.concatenate([end, odd + 1]), np.concatenate([start, odd])
         weight = np.concatenate([weight, np.array([len(b) for b in extra]) * self.byte_weight if extra else []])
         tokens_at = np.concatenate([tokens_at, -1 - np.arange(len(extra))])
         order = np.argsort(end, kind="stable")
         end, start, weight, tokens_at = end[order], start[order], weight[order], tokens_at[order]
-        word = np.searchsorted(first, end, side="right") - 1
-        place = end - first[word]
+        place = end - np.repeat(first[:-1], sizes + 1)[end]
         alpha = np.zeros(first[-1])
         by_place = np.argsort(place, kind="stable")
         bounds = np.searchsorted(place[by_place], np.arange(1, (sizes.max() if len(sizes) else 0) + 2))
@@ -121,31 +144,36 @@ class Sampler:
         node_rank = np.full(first[-1] + 1, -1, np.int64)
         node_rank[end[cut]] = np.arange(len(cut))
         last = cut + per - 1
-        return {"first": first, "sizes": sizes, "start": start, "search": rank + np.minimum(run, 1.0), "rank": node_rank, "cut": cut, "last": last, "tokens": tokens_at, "extra": extra, "p": value, "alpha": alpha}
+        return {"first": first, "start": start, "search": rank + np.minimum(run, 1.0), "rank": node_rank, "cut": cut, "last": last, "tokens": tokens_at, "extra": extra, "alpha": alpha}
 
     def encode(self, keys: list, texts: list[str]) -> list[np.ndarray]:
         """Sampled ids for each text."""
-        index: dict[str, int] = {}
+        if len(self.kept["start"]) > KEPT_EDGES:
+            self._forget()
+        known = self.known
+        had = len(known)
         which, counts = [], []
         for t in texts:
-            found = [index.setdefault(w, len(index)) for w in self._words.findall(t.replace(MARK, _LITERAL).replace(" ", MARK))]
+            found = [known.setdefault(w, len(known)) for w in self._words.findall(t.replace(MARK, _LITERAL).replace(" ", MARK))]
             which += found
             counts.append(len(found))
+        if len(known) > had:
+            self._learn(list(islice(known, had, None)))
         if not which:
             return [np.zeros(0, np.int32) for _ in texts]
-        lattice = self.lattice(list(index))
-        return self._backward(lattice, np.array(which), np.array(counts), keys)
+        return self._backward(np.array(which), np.array(counts), keys)
 
-    def _backward(self, g: dict, which: np.ndarray, counts: np.ndarray, keys: list) -> list[np.ndarray]:
+    def _backward(self, which: np.ndarray, counts: np.ndarray, keys: list) -> list[np.ndarray]:
         salt = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}:{k}".encode(), digest_size=8).digest(), "little") for k in keys], np.uint64)
-        sizes = g["sizes"][which]
+        g = self.kept
+        sizes = np.diff(g["first"])[which] - 1
         doc = np.repeat(np.arange(len(counts)), counts)
         before = np.cumsum(sizes) - sizes
         doc_first = np.concatenate([[0], np.cumsum(counts)])[:-1]
         doc_start = np.append(before, sizes.sum())[doc_first]
         offset = (before - doc_start[doc]).astype(np.uint64)
         base = g["first"][which]
-        node, live = base + sizes, np.arange(len(which))
+        node, live = base + sizes, np.argsort(which, kind="stable")  # by word: neighbours search the same places
         steps, edges_of, word_of = np.zeros(len(which), np.int64), [], []
         while len(live):
             at = node[live]
@@ -168,7 +196,7 @@ class Sampler:
         odd = np.flatnonzero(tokens < 0)
         if len(odd):
             longer = np.ones(len(tokens), np.int64)
-            raw = [g["extra"][-1 - t] for t in tokens[odd].tolist()]
+            raw = [self.extra[-1 - t] for t in tokens[odd].tolist()]
             longer[odd] = [len(b) for b in raw]
             out, own = np.repeat(out, longer), np.repeat(own, longer)
             places = np.cumsum(longer) - longer
