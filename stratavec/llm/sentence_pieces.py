@@ -38,9 +38,11 @@ SHARPNESS = 0.4
 #: Stand inside the lattice for a literal mark of the text and for the gap between words. Lone surrogates are in no text.
 _LITERAL, _GAP = "\ud800", "\ud801"
 VOCABULARY_BYTES = 16_000_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 #: Lattices of words are kept between slices up to about so many edges.
-KEPT_EDGES = 7_000_000
+KEPT_EDGES = 2_500_000
+LATTICE_WORDS = 10_000
+_KEPT = {"first": np.int64, "rank": np.int32, "start": np.int32, "search": np.float64, "tokens": np.int32, "cut": np.int32, "last": np.int32}
 
 
 def read_vocabulary(model: str = MODEL) -> list[tuple[int, str, bool]]:
@@ -87,19 +89,28 @@ class Sampler:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.kept = {"first": np.zeros(1, np.int64), "rank": np.zeros(0, np.int32), "start": np.zeros(0, np.int32), "search": np.zeros(0), "tokens": np.zeros(0, np.int32), "cut": np.zeros(0, np.int32), "last": np.zeros(0, np.int32)}
         self.extra: list[bytes] = []
+        self.used = dict.fromkeys(_KEPT, 0) | {"first": 1}
+        if not hasattr(self, "kept") or len(self.kept["start"]) != KEPT_EDGES * 3 // 2 + 1:
+            self.kept = {x: np.empty(KEPT_EDGES * 3 // 2 + 1, kind) for x, kind in _KEPT.items()}  # pages count once they are written
+        self.kept["first"][0] = 0
 
     def _learn(self, words: list[str]) -> None:
-        """Adds the lattices of new words to those that are kept."""
-        g, k = self.lattice(words), self.kept
-        nodes, edges, ranked, extra = k["first"][-1], len(k["start"]), len(k["cut"]), len(self.extra)
-        moved = {
-            "first": g["first"][1:] + nodes, "rank": np.where(g["rank"] >= 0, g["rank"] + ranked, -1)[:-1], "start": g["start"] + nodes, "search": g["search"] + ranked,
-            "tokens": np.where(g["tokens"] < 0, g["tokens"] - extra, g["tokens"]), "cut": g["cut"] + edges, "last": g["last"] + edges,
-        }
-        self.kept = {x: np.concatenate([k[x], v]).astype(k[x].dtype) for x, v in moved.items()}
-        self.extra += g["extra"]
+        """Adds the lattices of new words to those that are kept; some words at a time, as a lattice in the making takes
+        several times what is kept of it."""
+        for at in range(0, len(words), LATTICE_WORDS):
+            g, extra, used = self.lattice(words[at : at + LATTICE_WORDS]), len(self.extra), self.used
+            moved = {
+                "first": g["first"][1:] + self.kept["first"][used["first"] - 1], "rank": np.where(g["rank"] >= 0, g["rank"] + used["cut"], -1)[:-1], "start": g["start"] + used["rank"], "search": g["search"] + used["cut"],
+                "tokens": np.where(g["tokens"] < 0, g["tokens"] - extra, g["tokens"]), "cut": g["cut"] + used["start"], "last": g["last"] + used["start"],
+            }
+            for x, v in moved.items():
+                n = used[x] + len(v)
+                if n > len(self.kept[x]):
+                    self.kept[x] = np.concatenate([self.kept[x][: used[x]], np.empty(n - used[x] + len(v), v.dtype)]).astype(_KEPT[x])
+                self.kept[x][used[x] : n] = v
+                used[x] = n
+            self.extra += g["extra"]
 
     def lattice(self, words: list[str]) -> dict:
         """Nodes and edges of all words, one after the other, with the forward pass's posterior of each edge."""
@@ -148,7 +159,7 @@ class Sampler:
 
     def encode(self, keys: list, texts: list[str]) -> list[np.ndarray]:
         """Sampled ids for each text."""
-        if len(self.kept["start"]) > KEPT_EDGES:
+        if self.used["start"] > KEPT_EDGES:
             self._forget()
         known = self.known
         had = len(known)
@@ -165,7 +176,7 @@ class Sampler:
 
     def _backward(self, which: np.ndarray, counts: np.ndarray, keys: list) -> list[np.ndarray]:
         salt = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}:{k}".encode(), digest_size=8).digest(), "little") for k in keys], np.uint64)
-        g = self.kept
+        g = {x: v[: self.used[x]] for x, v in self.kept.items()}
         sizes = np.diff(g["first"])[which] - 1
         doc = np.repeat(np.arange(len(counts)), counts)
         before = np.cumsum(sizes) - sizes
