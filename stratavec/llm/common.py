@@ -56,10 +56,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes saved tables that no later job reads."""
+    for df in tables:
+        _remove(df.sparkSession, df._scratch_path)
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, each: Callable[..., Iterator[tuple]], setup: Callable | None = None, bytes_at_once: int = 8_000_000) -> DataFrame:

@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import discard, saved, table
 from .hashing import K1, mixed
 
 LENGTH = 50
 SEED = 24
 SHALLOW = 16
-HOT = 5000
+HOT = 20_000
 SLICE_BYTES = 2_000_000
 CHUNK_ROWS = 60_000
 
@@ -50,7 +50,7 @@ def window_keys(data: np.ndarray) -> np.ndarray:
     h = {1: _BYTE[data]}
     for k in (1, 2, 4, 8):
         h[2 * k] = h[k][:-k] * _B[k] + h[k][k:]
-    seed = mixed(h[16][:-8] * _B[8] + h[8][16:])
+    seed = h[16][:-8] * _B[8] + h[8][16:]
     n = LENGTH - SEED + 1  # seeds in a window
     least, width = seed, 1
     while 2 * width <= n:
@@ -69,17 +69,21 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     lengths = np.array([len(t) for t in texts])
     begin = np.cumsum(lengths) - lengths
     n_windows = np.maximum(lengths - LENGTH + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), n_windows)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    keys = keys[begin[doc] + at]
-    if not len(keys):
-        return none, none, none, none.astype(np.uint64)
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    new |= (np.arange(len(keys)) - first[run]) % (LENGTH - SEED + 1) == 0
+    new = np.empty(len(keys) + LENGTH, bool)
+    new[0], new[1 : len(keys)], new[len(keys) :] = True, keys[1:] != keys[:-1], True
+    new[begin[begin < len(new)]] = True
+    new[(begin + n_windows)[n_windows > 0]] = True  # what follows reaches into the next text
     first = np.flatnonzero(new)
-    return doc[first], at[first], np.diff(np.append(first, len(keys))), keys[first]
+    doc = np.searchsorted(begin, first, side="right") - 1
+    good = first - begin[doc] < n_windows[doc]
+    n = np.diff(np.append(first, len(new)))[good]
+    first, doc = first[good], doc[good]
+    longest = LENGTH - SEED + 1
+    if n.max(initial=0) > longest:
+        pieces = -(-n // longest)
+        within = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * longest
+        first, doc, n = np.repeat(first, pieces) + within, np.repeat(doc, pieces), np.minimum(np.repeat(n, pieces) - within, longest)
+    return doc, first - begin[doc], n, keys[first]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -114,9 +118,13 @@ def shared_keys(texts: DataFrame) -> DataFrame:
     return document_keys(texts).groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.sum("n").alias("n")).where("a < z").select("key", (F.col("n") > HOT).alias("hot"))
 
 
-def shared_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
+def wanted_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """d, keys: the shared keys (key, hot) of each document, as many as it has."""
+    return document_keys(texts).select("d", "key").join(keys, "key").groupBy("d").agg(F.collect_list(F.struct("key", "hot")).alias("keys"))
+
+
+def shared_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, hot, d, start, x: the runs whose key is shared, as the bytes of their windows."""
-    wanted = document_keys(texts).select("d", "key").join(keys, "key").groupBy("d").agg(F.collect_list(F.struct("key", "hot")).alias("keys"))  # as many as the document has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -321,11 +329,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text (as bytes), spans: the merged removed byte ranges of each document."""
     texts = _texts(docs)
     keys = saved(shared_keys(texts), "keys")
-    found = saved(shared_runs(texts, keys), "runs")
-    spans = cold_spans(found)
-    if not keys.where("hot").isEmpty():
-        spans = spans.unionByName(hot_spans(found))
-    spans = saved(spans, "spans").groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # as many as the document has
+    wanted = saved(wanted_keys(texts, keys), "wanted")
+    any_hot = not keys.where("hot").isEmpty()
+    found = saved(shared_runs(texts, wanted), "runs")
+    discard(keys, wanted)
+    spans = saved(cold_spans(found).unionByName(hot_spans(found)) if any_hot else cold_spans(found), "spans")
+    discard(found)
+    spans = spans.groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # as many as the document has
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
     return whole.join(spans, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", F.coalesce("spans", F.array()).alias("spans"))
 
