@@ -34,9 +34,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(value, cut)), np.diff(np.searchsorted(first, starts))
 
 
-def shingle_hashes(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
-    """Per text, hashes of its shingles in text order, each labelled with how often it occurred before: no two of a
-    text are equal. A text of fewer than `width` words, but not none, is one shingle."""
+def shingle_hashes(texts: list[str | None], width: int = 5, labelled: bool = False) -> list[np.ndarray]:
+    """Per text, hashes of its shingles in text order; labelled: each with how often it occurred before, so that no two
+    of a text are equal. A text of fewer than `width` words, but not none, is one shingle."""
     h, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     out_counts = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
@@ -48,6 +48,8 @@ def shingle_hashes(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     s = np.zeros(len(doc), np.uint64)
     for k in range(width):
         s = mixed(s * K1 + np.where(at + k < ends[doc], padded[at + k], np.uint64(0)) + K3)
+    if not labelled:
+        return np.split(s, np.cumsum(out_counts)[:-1])
     order = np.lexsort((at, s, doc))
     same = np.concatenate([[False], (s[order][1:] == s[order][:-1]) & (doc[order][1:] == doc[order][:-1])])
     run = np.flatnonzero(~same)
