@@ -40,6 +40,24 @@ def test_battery_tells_random_from_written():
     assert found > 180 and wrong == 0
 
 
+def test_values_after_an_equals_sign():
+    secrets, _ = secrets_and_words(50)
+    for s in secrets:
+        for before, after in [("aws_access=", ""), ("DB_PASS=", "\n"), ("https://x.y/z?sig=", "&v=1"), ("https://x.y/z?a=b&sig=", ""), ("k==", " "), ("", "=x1"), ("", "===")]:
+            got = [m.span() for m in S.TOKEN.finditer(before + s + after)]
+            assert (len(before), len(before) + len(s)) in got, before + s + after
+    padded = base64.b64encode(random.Random(7).randbytes(25)).decode()
+    assert padded.endswith("==") and [m.group() for m in S.TOKEN.finditer(f"k={padded} {padded}")] == [padded, padded]
+
+
+def test_assigned_values_are_found(spark):
+    secrets, names = secrets_and_words(20)
+    texts = [f"{k}{s}" for s in secrets for k in ("aws_access=", "DB_PASS=", "https://x.y/z?sig=")] + [f"NAME={n}" for n in names]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in S.scan_secrets(docs_of(spark, texts)).collect()}
+    found = [("random", len(t) - len(secrets[i // 3]), len(t)) in got[i] for i, t in enumerate(texts[:120])]
+    assert sum(found) >= 0.9 * 120 and not any(got[i] for i in range(120, len(texts)))
+
+
 def test_scan_rows(spark):
     secrets, names = secrets_and_words(20)
     rng = random.Random(3)
