@@ -4,7 +4,7 @@ Index: centroids come from a balanced split of a bounded sample (halving at the
 few rounds of means). Every row is indexed, in the list of its nearest centroid and, if it lies near a border, in up to
 REPLICAS lists: those within BORDER times the nearest distance, unless an accepted centroid is nearer to the new one than
 the vector is. Search: a best-first walk of an in-memory neighbour graph over the centroids gives each query's nearest
-ones; those beyond RATIO times the nearest distance are pruned, but never before the lists hold MIN_ROWS rows.
+ones; those beyond RATIO times the nearest distance are pruned, but never before the lists hold MIN_ROWS ids.
 
 Skew: list lengths and the numbers of queries per list are counted. A list over BLOCK rows is dealt out in blocks, and
 so are its queries, so a task compares at most BLOCK rows with BLOCK queries, however many equal vectors there are.
@@ -14,7 +14,8 @@ Scores are cosines in double precision of the original vectors, summed in one fi
 
 Rows: vectors that are null, empty, zero, of another length than most of the sample's, or that hold a null or
 non-finite component take no part, nor do null ids; repeated ids are separate candidates but a query takes no
-candidate of its own id, and repeated rows of one id count once (the best score). Fewer candidates than k: all of them. An empty
+candidate of its own id, and repeated rows of one id count once (the best score): equal ones are dropped before
+indexing, others take one place among the k nearest of a block. Fewer candidates than k: all of them. An empty
 table gives an empty result; extra columns are not read.
 """
 
@@ -153,7 +154,7 @@ def fit_index(vectors: DataFrame) -> dict | None:
 
 
 def _assign(vectors: DataFrame, model, probe: dict | None = None) -> DataFrame:
-    """vec_id, list_id, embedding: the lists that each row is kept in, or with probe (list sizes) those it searches."""
+    """vec_id, list_id, embedding: the lists that each row is kept in, or with probe (ids per list) those it searches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -187,7 +188,10 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray,
     """(query, candidate, score) of each query's k nearest of x, ties to the smaller id."""
     s = _unit(q) @ _unit(x).T
     s[q_ids[:, None] == x_ids[None]] = -np.inf
-    kth = np.partition(s, max(0, s.shape[1] - k), 1)[:, max(0, s.shape[1] - k)]
+    order = np.argsort(x_ids, kind="stable")
+    first = np.flatnonzero(np.diff(x_ids[order], prepend=x_ids[order[0]] - 1))
+    best = s if len(first) == len(x_ids) else np.maximum.reduceat(s[:, order], first, axis=1)  # of each id
+    kth = np.partition(best, max(0, best.shape[1] - k), 1)[:, max(0, best.shape[1] - k)]
     a, b = np.nonzero((s >= kth[:, None] - 1e-9) & np.isfinite(s))
     score = np.empty(len(a))
     for i in range(0, len(a), 50_000):
@@ -211,23 +215,24 @@ def _compare(k: int):
     return run
 
 
-def _per_list(rows: DataFrame) -> dict[int, int]:
-    return {r.list_id: r.n for r in rows.groupBy("list_id").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS
+def _per_list(rows: DataFrame, what: Column) -> dict[int, int]:
+    return {r.list_id: r.n for r in rows.groupBy("list_id").agg(what.alias("n")).collect()}  # at most MAX_LISTS
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row for which `queries` holds."""
     spark = vectors.sparkSession
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").dropDuplicates()
+    rows = saved(rows, "rows").withColumn("embedding", F.col("embedding").cast("array<double>"))
     model = fit_index(rows)
     if model is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.where(F.size("embedding") == model["dim"])
     shared = broadcast_bytes(spark, model, model["c"].nbytes + model["graph"].nbytes, MODEL_BYTES, "centroids and graph")
     postings = saved(_assign(rows, shared), "postings")
-    sizes = _per_list(postings)
-    probes = saved(_assign(rows.where(queries), shared, sizes), "probes")
-    asked = _per_list(probes)
+    sizes = _per_list(postings, F.count("*"))
+    probes = saved(_assign(rows.where(queries), shared, _per_list(postings, F.countDistinct("vec_id"))), "probes")
+    asked = _per_list(probes, F.count("*"))
     blocks = F.create_map(*(F.lit(v) for i, n in sizes.items() for v in (i, -(-n // BLOCK))))
     q_blocks = F.create_map(*(F.lit(v) for i, n in asked.items() for v in (i, -(-n // BLOCK)))) if asked else F.create_map(F.lit(0), F.lit(1))
     x = postings.where(F.col("list_id").isin(list(asked) or [-1]))

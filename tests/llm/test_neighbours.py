@@ -43,6 +43,38 @@ def test_recall_scores_and_odd_rows(spark, monkeypatch):
     assert got[2050] == [(j, got[2050][0][1]) for j in (7, 2000, 2001, 2002, 2003)]
 
 
+def test_copies_of_an_id_take_one_place():
+    x = np.array([[0.9, 0.436]] * 5 + [[0.8, 0.6], [0.7, 0.714]])
+    q_ids, q = np.array([0]), np.array([[1.0, 0.0]])
+    got = N._nearest(q_ids, q, np.array([1, 1, 1, 1, 1, 2, 3]), x, 2)
+    assert got[1].tolist() == [1, 2]
+    assert N._nearest(q_ids, q, np.array([1, 1, 1, 1, 1, 2, 3]), x, 5)[1].tolist() == [1, 2, 3]
+    mixed = np.array([[0.9, 0.1], [0.5, 0.5], [0.8, 0.3], [0.9, 0.2], [0.7, 0.4]])
+    assert N._nearest(q_ids, q, np.array([4, 4, 2, 4, 3]), mixed, 3)[1].tolist() == [4, 2, 3]
+
+
+def test_repeated_rows_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST_ROWS", 32)
+    monkeypatch.setattr(N, "MIN_ROWS", 60)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=8)], 0) for i in range(600)]
+    once = N.search(spark.createDataFrame(rows, ROWS), F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect()
+    many = spark.createDataFrame(rows * 2 + rows[:60] * 20, ROWS)
+    again = N.search(many, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect()
+    assert len(once) == 150 and again == once
+
+
+def test_rows_of_one_id_that_differ_leave_room(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST_ROWS", 16)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [(0, base.tolist(), 0)] + [(1, (base + rng.normal(size=8) * 0.01).tolist(), 0) for _ in range(500)] + [(i, (base + rng.normal(size=8)).tolist(), 0) for i in range(2, 40)]
+    got = [r.vec_id for r in N.search(spark.createDataFrame(rows, ROWS), F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    score = lambda v: float(N.exact_scores(np.float32(base)[None].astype(float), np.float32(v)[None].astype(float))[0])
+    best = sorted(range(2, 40), key=lambda i: -score(rows[499 + i][1]))
+    assert got == [1, *best[:4]]
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 1.0], 0), (2, [1.0, 0.5], 0)], ROWS)
     got = [(r.rank, r.vec_id) for r in N.search(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
