@@ -40,6 +40,38 @@ def test_battery_tells_random_from_written():
     assert found > 180 and wrong == 0
 
 
+def small_alphabets(rng, n):
+    out = {}
+    for size in (20, 26, 32, 40, 64):
+        out["HEX", size] = ["".join(rng.choices("0123456789ABCDEF", k=size)) for _ in range(n)]
+        out["base32", size] = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=size)) for _ in range(n)]
+    return out
+
+
+def written_upper(rng, n):
+    words = "HTTP MAX CONCURRENT STREAM LIMIT CONFIG SERVER SESSION DEFAULT VALUE INDEX UNIT NUMBER WERT ZAHL GRENZE BUFFER DEAD BEEF FACE CAFE FEED ACCEDED DECADE FACADE ADDED".split()
+    numbers = [f"{rng.randrange(10**22):022d}{rng.choice('ABCDEF')}" for _ in range(n)] + [f"2024{rng.randrange(10**4):04d}{rng.randrange(10**9)}00000{rng.choice('ACE')}" for _ in range(n)]
+    return numbers + ["".join(w + rng.choice(["", "", "2", "3"]) for w in rng.choices(words, k=5)) + "4" for _ in range(2 * n)]
+
+
+def test_upper_case_hex_and_base32_against_written_text():
+    rng = random.Random(8)
+    for (name, size), tokens in small_alphabets(rng, 400).items():
+        found = sum(bool(r := S.battery(t)) and r[0] >= S.ALPHA and r[1] <= 0.01 for t in tokens)
+        assert found >= {20: 0.75, 26: 0.88}.get(size, 0.95) * len(tokens), (name, size)
+    p = [r for t in written_upper(rng, 500) if (r := S.battery(t))]
+    assert len(p) > 1500 and sum(a >= S.ALPHA and b <= 0.01 for a, b in p) <= 0.01 * len(p)
+
+
+def test_upper_case_hex_and_base32_are_found(spark):
+    rng = random.Random(9)
+    secrets = [t for tokens in small_alphabets(rng, 10).values() for t in tokens]
+    texts = [f"see {t} there" for t in secrets + written_upper(rng, 50)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in S.scan_secrets(docs_of(spark, texts)).collect()}
+    assert sum(("random", 4, 4 + len(t)) in got[i] for i, t in enumerate(secrets)) >= 0.9 * len(secrets)
+    assert sum(any(s[0] == "random" for s in got[i]) for i in range(len(secrets), len(texts))) <= 2
+
+
 def test_values_after_an_equals_sign():
     secrets, _ = secrets_and_words(50)
     for s in secrets:
