@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.model import whole
+
+#: Units of ts that one task of a series takes at a time.
+SPAN = 1024
+
 
 def bounds(initial: float, multiplier: float, buckets: int) -> list[float]:
     """Upper bounds of geometric buckets: initial * multiplier**i; the last bucket takes the rest."""
@@ -41,20 +46,26 @@ def bucket_deltas(histograms: DataFrame) -> DataFrame:
     return histograms.select("series", "ts", "bucket", F.greatest(F.col("n") - before, F.lit(0).cast("bigint")).alias("n"))
 
 
-def _with_previous(histograms: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("n").over(W.partitionBy("series", "bucket").orderBy("ts")), F.lit(0).cast("bigint"))
-    return histograms.withColumn("before", before)
+def _with_previous(histograms: DataFrame, span: int) -> DataFrame:
+    """With each count the same bucket's before. Two levels: within blocks of `span` units of ts, then over one row per
+    block, so a series of any length is spread over tasks."""
+    rows = whole(histograms, "n").withColumn("_block", F.floor(F.col("ts") / span))
+    ends = rows.groupBy("series", "bucket", "_block").agg(F.max_by("n", "ts").alias("_end"))
+    carried = ends.select("series", "bucket", "_block", F.lag("_end").over(W.partitionBy("series", "bucket").orderBy("_block")).alias("_carried"))
+    inside = F.lag("n").over(W.partitionBy("series", "bucket", "_block").orderBy("ts"))
+    rows = rows.withColumn("before", inside).join(carried, ["series", "bucket", "_block"])
+    return rows.withColumn("before", F.coalesce("before", "_carried", F.lit(0).cast("bigint"))).drop("_block", "_carried")
 
 
-def time_diff(histograms: DataFrame) -> DataFrame:
+def time_diff(histograms: DataFrame, span: int = SPAN) -> DataFrame:
     """Each count less the same bucket's before; where it fell (a counter was reset), the count itself."""
     diff = F.when(F.col("n") < F.col("before"), F.col("n")).otherwise(F.col("n") - F.col("before"))
-    return _with_previous(histograms).select("series", "ts", "bucket", diff.alias("n"))
+    return _with_previous(histograms, span).select("series", "ts", "bucket", diff.alias("n"))
 
 
-def resets(histograms: DataFrame) -> DataFrame:
+def resets(histograms: DataFrame, span: int = SPAN) -> DataFrame:
     """series, ts, value_dropped: whether any bucket fell."""
-    return _with_previous(histograms).groupBy("series", "ts").agg(F.bool_or(F.col("n") < F.col("before")).alias("value_dropped"))
+    return _with_previous(histograms, span).groupBy("series", "ts").agg(F.bool_or(F.col("n") < F.col("before")).alias("value_dropped"))
 
 
 def packed(histograms: DataFrame, initial: float, multiplier: float) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import bit_width
-from ..functions.model import SECTION, section
+from ..functions.model import SECTION, section, whole
 from ..functions.predicates import true_where
 
 
@@ -55,14 +57,35 @@ def mask_positions(masks: DataFrame) -> DataFrame:
     return bits.where(F.expr("mask & shiftleft(1L, b)") != 0).select("vec", (F.col("sect") * SECTION + F.col("word") * 32 + F.col("b")).alias("pos"))
 
 
+def masks_and(masks: DataFrame, *others: DataFrame) -> DataFrame:
+    """vec, sect, word, mask: what all of the masks match; words that one of them does not have match nothing and go."""
+    for other in others:
+        both = masks.join(other.withColumnRenamed("mask", "_other"), ["vec", "sect", "word"])
+        masks = both.select("vec", "sect", "word", F.col("mask").bitwiseAND(F.col("_other")).alias("mask"))
+    return masks
+
+
+def masks_or(masks: DataFrame, *others: DataFrame) -> DataFrame:
+    """vec, sect, word, mask: what any of the masks matches."""
+    for other in others:
+        masks = masks.unionByName(other)
+    return masks.groupBy("vec", "sect", "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def filter_masks(masks: DataFrame, each: Callable[[Column], Column]) -> DataFrame:
+    """The masks after a filter that makes a new word of 32 bits from each word."""
+    return masks.withColumn("mask", each(F.col("mask")).bitwiseAND(F.lit(2**32 - 1).cast("bigint")))
+
+
 def fold(df: DataFrame, *aggregates: Column) -> DataFrame:
-    return df.groupBy("vec").agg(*aggregates)
+    return whole(df).groupBy("vec").agg(*aggregates)
 
 
 def section_stats(df: DataFrame) -> DataFrame:
     """vec, sect, n, mn, mx over padded sections; NaN takes no part (a section of NaN only has null bounds)."""
+    df = whole(df)
     floating = dict(df.dtypes)["v"] in ("float", "double")
-    v = F.when(~F.isnan("v"), F.col("v")) if floating else F.coalesce("v", F.lit(0))
+    v = F.when(~F.isnan("v"), F.col("v")) if floating else F.col("v")
     zero = F.lit(0).cast(dict(df.dtypes)["v"])
     n = F.count("*")
     return df.groupBy("vec", section().alias("sect")).agg(

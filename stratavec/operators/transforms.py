@@ -9,23 +9,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.model import lane, section, zero_if_null
+from ..functions.model import lane, section, whole
 
 BLOCK_BITS = 16
 
 
 def add_constant(df: DataFrame, constant) -> DataFrame:
     """v + constant; a null gives the constant."""
-    return df.withColumn("v", zero_if_null("v") + F.lit(constant))
+    return whole(df).withColumn("v", F.col("v") + F.lit(constant))
 
 
 def add_constant_wrapping(df: DataFrame, constant: int, bits: int) -> DataFrame:
-    """v + constant modulo 2**bits, for unsigned elements of up to 32 bits."""
-    return df.withColumn("v", F.pmod(zero_if_null("v").cast("bigint") + F.lit(constant % 2**bits).cast("bigint"), F.lit(2**bits).cast("bigint")))
+    """v + constant modulo 2**bits, for unsigned elements of up to 64 bits (those of 64 as bit patterns, see
+    model.unsigned). The halves of 32 bits are added one after the other, so nothing overflows."""
+    low = F.lit(2**32 - 1).cast("bigint")
+    v, c = F.col("v").cast("bigint"), constant % 2**64
+    right = v.bitwiseAND(low) + F.lit(c & 2**32 - 1).cast("bigint")
+    left = F.shiftrightunsigned(v, 32) + F.lit(c >> 32).cast("bigint") + F.shiftright(right, 32)
+    total = F.shiftleft(left.bitwiseAND(low), 32).bitwiseOR(right.bitwiseAND(low))
+    return whole(df).withColumn("v", total if bits == 64 else total.bitwiseAND(F.lit(2**bits - 1).cast("bigint")))
 
 
 def widen(df: DataFrame) -> DataFrame:
-    return df.withColumn("v", F.col("v").cast("bigint"))
+    return whole(df).withColumn("v", F.col("v").cast("bigint"))
 
 
 def _block() -> Column:
@@ -36,7 +42,7 @@ def with_previous(df: DataFrame, value: str = "v", out: str = "prev", first=0) -
     """df with the value at the position before; `first` at a vector's first position."""
     kind = dict(df.dtypes)[value]
     start = F.lit(first).cast(kind)
-    rows = df.withColumn("_block", _block())
+    rows = whole(df, value).withColumn("_block", _block())
     ends = rows.groupBy("vec", "_block").agg(F.max_by(value, "pos").alias("_end")).select("vec", (F.col("_block") + 1).alias("_block"), "_end")
     inside = F.lag(value).over(W.partitionBy("vec", "_block").orderBy("pos"))
     at_first = F.row_number().over(W.partitionBy("vec", "_block").orderBy("pos")) == 1
@@ -45,7 +51,7 @@ def with_previous(df: DataFrame, value: str = "v", out: str = "prev", first=0) -
 
 
 def _running(df: DataFrame, value: str, out: str, aggregate, combine) -> DataFrame:
-    rows = df.withColumn("_block", _block())
+    rows = whole(df, value).withColumn("_block", _block())
     totals = rows.groupBy("vec", "_block").agg(aggregate(value).alias("_t"))
     before = W.partitionBy("vec").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("vec", "_block", F.coalesce(aggregate("_t").over(before), F.lit(0)).alias("_before"))
@@ -65,7 +71,7 @@ def running_xor(df: DataFrame, value: str = "v", out: str = "v") -> DataFrame:
 def delta_from_least(df: DataFrame) -> DataFrame:
     """vec, pos, base, v: each section's elements less its least one."""
     base = F.min("v").over(W.partitionBy("vec", section()))
-    return df.select("vec", "pos", base.alias("base"), (F.col("v") - base).alias("v"))
+    return whole(df).select("vec", "pos", base.alias("base"), (F.col("v") - base).alias("v"))
 
 
 def undo_delta_from_least(df: DataFrame) -> DataFrame:
@@ -74,7 +80,7 @@ def undo_delta_from_least(df: DataFrame) -> DataFrame:
 
 def successive_delta(df: DataFrame) -> DataFrame:
     """v less the one before, 0 where the series falls; the next difference is still to the raw value."""
-    return with_previous(df).select("vec", "pos", F.greatest(F.col("v") - F.col("prev"), F.lit(0).cast("bigint")).alias("v"))
+    return with_previous(whole(df)).select("vec", "pos", F.greatest(F.col("v") - F.col("prev"), F.lit(0).cast("bigint")).alias("v"))
 
 
 def xor_previous(df: DataFrame, bits: str = "v") -> DataFrame:
@@ -86,7 +92,7 @@ def xor_octets(df: DataFrame) -> DataFrame:
     """Within each section, bit patterns XOR those eight positions before."""
     kind = dict(df.dtypes)["v"]
     before = F.coalesce(F.lag("v", 8).over(W.partitionBy("vec", section()).orderBy("pos")), F.lit(0).cast(kind))
-    return df.select("vec", "pos", F.col("v").bitwiseXOR(before).alias("v"))
+    return whole(df).select("vec", "pos", F.col("v").bitwiseXOR(before).alias("v"))
 
 
 def undo_xor_octets(df: DataFrame) -> DataFrame:
@@ -96,4 +102,4 @@ def undo_xor_octets(df: DataFrame) -> DataFrame:
 
 def section_arrays(df: DataFrame) -> DataFrame:
     """vec, sect, values: each section's elements in order."""
-    return df.groupBy("vec", section().alias("sect")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("values"))
+    return whole(df).groupBy("vec", section().alias("sect")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("values"))

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions import predicates as P
-from ..functions.model import lane, octet, section
+from ..functions.model import SECTION, lane, octet, section, unsigned, whole
 from ..operators import encoding as E
 from ..operators import histograms as H
 from ..operators import terminals as T
 from ..operators import transforms as X
+from ..sources import codec as C
 from ..sources import vectors as S
+from ..sources.scratch import saved, scratch_path
+from ..streaming.histograms import stream_time_diff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,16 +62,28 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _read(spark, sf_dir, "events").agg(F.count("*")).first()[0]
-    return S.densify(errors(spark, sf_dir), n)
+    sizes = _read(spark, sf_dir, "events").agg(F.count("*").alias("n")).select(F.lit("s").alias("vec"), "n")
+    return S.densify(errors(spark, sf_dir), sizes=sizes)
+
+
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+_built: dict[tuple[str, str], DataFrame] = {}
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem's l_linenumber by place in _ORDER. As a table without positions must be sorted first, the vector is built
+    once in an application and kept; queries read it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _built:
+        _built[key] = S.vector(S.with_positions(_read(spark, sf_dir, "lineitem").select(*_ORDER), *_ORDER), "pos", "l_linenumber")
+    return _built[key]
 
 
 def four_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """users, times, line numbers and the densified errors, as four vectors of one table."""
-    lines = S.with_positions(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     named = lambda df, name: df.select(F.lit(name).alias("vec"), "pos", F.col("v").cast("bigint").alias("v"))
     out = named(users(spark, sf_dir), "users")
-    for df, name in ((times(spark, sf_dir), "times"), (S.vector(lines, "pos", "l_linenumber"), "lines"), (dense_errors(spark, sf_dir), "errors")):
+    for df, name in ((times(spark, sf_dir), "times"), (lines(spark, sf_dir), "lines"), (dense_errors(spark, sf_dir), "errors")):
         out = out.unionByName(named(df, name))
     return out
 
@@ -79,7 +94,7 @@ _FLOATS = "SELECT vec_id * 64 + i - 1 AS pos, embedding[i] AS v FROM (SELECT vec
 _DENSE = "SELECT event_id AS pos, CASE WHEN event_type = 'error' THEN user_id + 1 ELSE 0 END AS v FROM events"
 _FOUR = f"""SELECT 'users' AS vec, pos, v FROM ({_USERS})
 UNION ALL SELECT 'times', event_id, epoch_us(ts) FROM events
-UNION ALL SELECT 'lines', row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1, l_linenumber FROM lineitem
+UNION ALL SELECT 'lines', row_number() OVER (ORDER BY {', '.join(_ORDER)}) - 1, l_linenumber FROM lineitem
 UNION ALL SELECT 'errors', pos, v FROM ({_DENSE})"""
 _STATS = f"""WITH b AS (SELECT vec, pos >> 8 AS sect, v FROM ({_FOUR})),
 st AS (SELECT vec, sect, count(*) AS n, CASE WHEN count(*) < 256 THEN least(min(v), 0) ELSE min(v) END AS mn,
@@ -100,7 +115,7 @@ zb AS (SELECT vec, sect, t, CAST(CASE t WHEN 'Null' THEN 1 WHEN 'Constant' THEN
 
 @_query(_USERS)
 def scan_vector(spark, sf_dir):
-    return users(spark, sf_dir).select("pos", "v")
+    return whole(users(spark, sf_dir)).select("pos", "v")
 
 
 @_query(f"SELECT CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, count(*) AS n FROM ({_USERS})")
@@ -110,13 +125,13 @@ def iterate_sum(spark, sf_dir):
 
 @_query("SELECT count(*) AS n, CAST(count(*) // 256 * 256 AS BIGINT) AS visible FROM events")
 def num_elements(spark, sf_dir):
-    df = users(spark, sf_dir)
-    return df.agg(F.count("*").alias("n")).crossJoin(S.flushed(df).agg(F.count("*").alias("visible")))
+    per = T.fold(users(spark, sf_dir), F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.floor(F.col("n") / SECTION) * SECTION), F.lit(0)).alias("visible"))
 
 
 @_query(f"SELECT pos, v FROM ({_USERS}) WHERE pos < (SELECT count(*) // 256 * 256 FROM events)")
 def flushed_scan(spark, sf_dir):
-    return S.flushed(users(spark, sf_dir)).select("pos", "v")
+    return S.flushed(whole(users(spark, sf_dir))).select("pos", "v")
 
 
 @_query(f"SELECT pos >> 8 AS sect, list(v ORDER BY pos) AS \"values\" FROM ({_USERS}) GROUP BY 1")
@@ -129,6 +144,12 @@ def dense_positions(spark, sf_dir):
     return S.with_positions(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("pos", "o_orderkey")
 
 
+@_query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS v FROM orders")
+def positions_of_payload(spark, sf_dir):
+    df = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return S.vector(S.with_positions(df, "o_orderdate", "o_orderkey"), "pos", "o_totalprice").select("pos", "v")
+
+
 # Filters
 
 
@@ -229,6 +250,30 @@ def mask_positions(spark, sf_dir):
     return T.mask_positions(T.section_masks(users(spark, sf_dir), P.one_of("v", [3, 5]))).select("pos")
 
 
+@_query("SELECT pos >> 8 AS sect, (pos >> 5) & 7 AS word, bit_or(CASE WHEN v IN (3, 5) AND t = 'click' THEN 1::BIGINT << (pos & 31) ELSE 0 END) AS mask FROM (SELECT event_id AS pos, user_id AS v, event_type AS t FROM events) GROUP BY 1, 2")
+def masks_and(spark, sf_dir):
+    one, other = _two_masks(spark, sf_dir)
+    return T.masks_and(one, other).drop("vec")
+
+
+@_query("SELECT pos >> 8 AS sect, (pos >> 5) & 7 AS word, bit_or(CASE WHEN v IN (3, 5) OR t = 'click' THEN 1::BIGINT << (pos & 31) ELSE 0 END) AS mask FROM (SELECT event_id AS pos, user_id AS v, event_type AS t FROM events) GROUP BY 1, 2")
+def masks_or(spark, sf_dir):
+    one, other = _two_masks(spark, sf_dir)
+    return T.masks_or(one, other).drop("vec")
+
+
+@_query("SELECT pos >> 8 AS sect, (pos >> 5) & 7 AS word, bit_or(CASE WHEN v IN (3, 5) AND pos % 2 = 0 THEN 1::BIGINT << (pos & 31) ELSE 0 END) AS mask FROM (SELECT event_id AS pos, user_id AS v FROM events) GROUP BY 1, 2")
+def mask_filter(spark, sf_dir):
+    """Each mask's matches at even positions."""
+    masks = T.section_masks(users(spark, sf_dir), P.one_of("v", [3, 5]))
+    return T.filter_masks(masks, lambda m: m.bitwiseAND(F.lit(0x55555555).cast("bigint"))).drop("vec")
+
+
+def _two_masks(spark, sf_dir):
+    typed = S.vector(_read(spark, sf_dir, "events"), "event_id", "event_type")
+    return T.section_masks(users(spark, sf_dir), P.one_of("v", [3, 5])), T.section_masks(typed, F.col("v") == "click")
+
+
 # Section statistics and the encoding advisor
 
 
@@ -285,6 +330,26 @@ def vector_summary(spark, sf_dir):
     return E.summary(E.vector_stats(four_vectors(spark, sf_dir)))
 
 
+_F32_BITS = f"SELECT pos, CAST(v::FLOAT::BIT AS INTEGER) AS v FROM ({_FLOATS})"
+_F32_SIZES = f"""WITH st AS (SELECT pos >> 8 AS sect, count(*) AS n, min(v) FILTER (NOT isnan(v)) AS mn, max(v) FILTER (NOT isnan(v)) AS mx, bool_or(isnan(v)) AS nan FROM ({_FLOATS}) GROUP BY 1),
+ty AS (SELECT sect, n, CASE WHEN mn = mx AND NOT nan AND mn = 0 THEN 'Null' WHEN mn = mx AND NOT nan THEN 'Constant' ELSE 'XorNPMedium' END AS t FROM st),
+p AS (SELECT pos, v::BIGINT & 4294967295 AS b FROM ({_F32_BITS}) UNION ALL SELECT unnest(range(k, (k + 255) // 256 * 256)), 0 FROM (SELECT max(pos) + 1 AS k FROM ({_FLOATS}))),
+d AS (SELECT pos, xor(b, coalesce(lag(b, 8) OVER (PARTITION BY pos >> 8 ORDER BY pos), 0)) AS b FROM p),
+o AS (SELECT pos >> 8 AS sect, pos >> 3 AS oct, bit_or(b) AS ob, count(*) FILTER (b <> 0) AS nz FROM d GROUP BY 1, 2),
+z AS (SELECT sect, sum(CASE WHEN nz = 0 THEN 1 ELSE 2 + ceil(nz * ((length(bin(ob)) + 3) // 4 - bit_count((ob & -ob) - 1) // 4) / 2.0) END) AS body FROM o GROUP BY 1),
+zb AS (SELECT sect, t, n, CAST(CASE t WHEN 'Null' THEN 1 WHEN 'Constant' THEN 5 ELSE 3 + body END AS BIGINT) AS bytes FROM ty JOIN z USING (sect))"""
+
+
+@_query(f"{_F32_SIZES} SELECT sect, t, bytes FROM zb")
+def float_section_bytes(spark, sf_dir):
+    return E.float_section_bytes(floats(spark, sf_dir)).select("sect", "t", "bytes")
+
+
+@_query(f"{_F32_SIZES} SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(bytes) + 16 AS BIGINT) AS bytes, count(*) AS n_sections, count(*) FILTER (t = 'Null') AS null_sections FROM zb")
+def float_vector_stats(spark, sf_dir):
+    return E.float_vector_stats(floats(spark, sf_dir)).drop("vec")
+
+
 # Building
 
 
@@ -295,7 +360,7 @@ def densify_sparse(spark, sf_dir):
 
 @_query("SELECT i AS pos, coalesce(s_nationkey, 0) AS v FROM (SELECT unnest(range(0, 5000)) AS i) LEFT JOIN (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_nationkey FROM supplier) ON i = pos")
 def finish_padded(spark, sf_dir):
-    df = S.with_positions(_read(spark, sf_dir, "supplier"), "s_suppkey")
+    df = S.with_positions(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
     return S.finish(S.vector(df, "pos", "s_nationkey"), 5000).select("pos", "v")
 
 
@@ -322,6 +387,13 @@ def add_const_wrapping(spark, sf_dir):
     return X.add_constant_wrapping(users(spark, sf_dir), 4294967290, 32).select("pos", "v")
 
 
+@_query("SELECT event_id AS pos, CAST(user_id AS HUGEINT) + 18446744073709551000 - CASE WHEN user_id >= 616 THEN 18446744073709551616 ELSE 0 END AS v FROM events")
+def add_const_wrapping_u64(spark, sf_dir):
+    """Unsigned 64-bit sums, as decimals."""
+    wrapped = X.add_constant_wrapping(users(spark, sf_dir), 18446744073709551000, 64)
+    return wrapped.select("pos", unsigned("v").alias("v"))
+
+
 @_query("SELECT event_id AS pos, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_id >> 8) AS v, min(epoch_us(ts)) OVER (PARTITION BY event_id >> 8) AS base FROM events")
 def delta_from_min(spark, sf_dir):
     return X.delta_from_least(times(spark, sf_dir)).select("pos", "v", "base")
@@ -357,9 +429,6 @@ def xor_f64_roundtrip(spark, sf_dir):
     return X.running_xor(X.xor_previous(value_bits(spark, sf_dir))).select("pos", "v")
 
 
-_F32_BITS = f"SELECT pos, CAST(v::FLOAT::BIT AS INTEGER) AS v FROM ({_FLOATS})"
-
-
 @_query(f"SELECT pos, xor(v, coalesce(lag(v, 8) OVER (PARTITION BY pos >> 8 ORDER BY pos), 0)) AS v FROM ({_F32_BITS})")
 def xor_f32_octet(spark, sf_dir):
     df = floats(spark, sf_dir)
@@ -372,10 +441,9 @@ def xor_f32_roundtrip(spark, sf_dir):
     return X.undo_xor_octets(X.xor_octets(df.withColumn("v", bits.float_bits(F.col("v"))))).select("pos", "v")
 
 
-@_query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, CAST(l_linenumber AS BIGINT) AS v FROM lineitem")
+@_query(f"SELECT row_number() OVER (ORDER BY {', '.join(_ORDER)}) - 1 AS pos, CAST(l_linenumber AS BIGINT) AS v FROM lineitem")
 def widen_u32(spark, sf_dir):
-    lines = S.with_positions(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return X.widen(S.vector(lines, "pos", "l_linenumber")).select("pos", "v")
+    return X.widen(lines(spark, sf_dir)).select("pos", "v")
 
 
 @_query(f"SELECT pos, pos >> 8 AS sect, pos >> 3 AS oct, pos & 7 AS lane FROM ({_USERS})")
@@ -428,3 +496,100 @@ def hist_resets(spark, sf_dir):
 @_query(f"WITH {_HIST} SELECT series, ts, CAST(2 AS DOUBLE) AS initial, CAST(2 AS DOUBLE) AS multiplier, list(n ORDER BY bucket) AS buckets FROM h GROUP BY 1, 2")
 def hist_packed(spark, sf_dir):
     return H.packed(_histograms(spark, sf_dir), 2.0, 2.0).select("series", "ts", "histogram.*")
+
+
+@_query(f"WITH {_CUM}, c1 AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS line, ts FROM (SELECT DISTINCT ts FROM c WHERE series = 'click')) SELECT line AS ts, bucket, n FROM c JOIN c1 USING (ts) WHERE series = 'click'")
+def csv_source(spark, sf_dir):
+    """One series of cumulative histograms written as text, one line each, and read again."""
+    one = _arrays(H.cumulative(_histograms(spark, sf_dir))).where("series = 'click'")
+    path = scratch_path(spark, "csv")
+    one.orderBy("ts").select(F.array_join("n", ",").alias("value")).write.text(path)
+    return S.csv_histograms(spark, path).select("ts", "bucket", "n")
+
+
+@_query(f"WITH {_PREV} SELECT series, ts, list(CASE WHEN n < before THEN n ELSE n - before END ORDER BY bucket) AS n, bool_or(n < before) AS value_dropped FROM p GROUP BY 1, 2")
+def hist_stream_diff(spark, sf_dir):
+    """The time difference over a stream of all snapshots, taken up in one trigger and written by a stream."""
+    rows = saved(_arrays(H.cumulative(_histograms(spark, sf_dir))), "snapshots")
+    stream = spark.readStream.schema(rows.schema).parquet(rows._scratch_path)
+    out = scratch_path(spark, "diffs")
+    diff = stream_time_diff(stream)
+    query = diff.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(diff.schema).parquet(out)
+
+
+def _arrays(histograms):
+    """series, ts, n: counts by bucket."""
+    return H.packed(histograms, 2.0, 2.0).select("series", "ts", F.col("histogram.buckets").alias("n"))
+
+
+# Storage and the byte codec
+
+
+@_query(_USERS)
+def save_and_open(spark, sf_dir):
+    path = scratch_path(spark, "vector")
+    S.save_vector(whole(users(spark, sf_dir)), path)
+    return S.open_vector(spark, path, "bigint").select("pos", "v")
+
+
+@_query(f"{_OCTETS} SELECT sect, bytes FROM zb WHERE vec = 'times'")
+def codec_section_bytes(spark, sf_dir):
+    """What sections take when they are encoded; the advisor's sizes."""
+    return C.encode_sections(times(spark, sf_dir), "u64").select("sect", F.octet_length("encoded").cast("bigint").alias("bytes"))
+
+
+@_query("SELECT event_id AS pos, epoch_us(ts) AS v FROM events")
+def codec_sections(spark, sf_dir):
+    return C.decode_sections(C.encode_sections(times(spark, sf_dir), "u64"), "u64").select("pos", "v")
+
+
+@_query(f"{_F32_SIZES} SELECT sect, bytes FROM zb")
+def codec_float_section_bytes(spark, sf_dir):
+    return C.encode_sections(floats(spark, sf_dir), "f32").select("sect", F.octet_length("encoded").cast("bigint").alias("bytes"))
+
+
+@_query(_FLOATS)
+def codec_float_sections(spark, sf_dir):
+    return C.decode_sections(C.encode_sections(floats(spark, sf_dir), "f32"), "f32").select("pos", "v")
+
+
+@_query("SELECT event_id AS pos FROM events WHERE user_id IN (3, 5)")
+def codec_matches(spark, sf_dir):
+    return C.match_sections(C.encode_sections(users(spark, sf_dir), "u64"), "u64", [3, 5]).select("pos")
+
+
+@_query(f"""WITH o AS (SELECT pos >> 8 AS sect, pos >> 3 AS oct, bit_or(v) AS ob, count(*) FILTER (v <> 0) AS nz FROM ({_USERS}) GROUP BY 1, 2),
+z AS (SELECT sect, sum(CASE WHEN nz = 0 THEN 1 ELSE 2 + ceil(nz * ((length(bin(ob)) + 3) // 4 - bit_count((ob & -ob) - 1) // 4) / 2.0) END) AS bytes FROM o GROUP BY 1)
+SELECT sect, CAST(bytes AS BIGINT) AS bytes, list(v ORDER BY pos) AS unpacked FROM z JOIN ({_USERS}) ON sect = pos >> 8 GROUP BY 1, 2""")
+def codec_stream(spark, sf_dir):
+    return _stream(X.section_arrays(users(spark, sf_dir)), "plain").select("sect", F.octet_length("packed").cast("bigint").alias("bytes"), "unpacked")
+
+
+@_query("SELECT event_id >> 8 AS sect, list(epoch_us(ts) ORDER BY event_id) AS unpacked FROM events GROUP BY 1")
+def codec_delta_stream(spark, sf_dir):
+    return _stream(X.section_arrays(times(spark, sf_dir)), "delta").select("sect", "unpacked")
+
+
+@_query("SELECT event_id >> 8 AS sect, list(value ORDER BY event_id) AS unpacked FROM events GROUP BY 1")
+def codec_double_stream(spark, sf_dir):
+    df = S.vector(_read(spark, sf_dir, "events"), "event_id", "value")
+    return _stream(X.section_arrays(df), "double").select("sect", "unpacked")
+
+
+def _stream(arrays, form):
+    packed = C.pack_streams(arrays.withColumn("n", F.size("values")), "values", form)
+    return C.unpack_streams(packed, "packed", "n", form)
+
+
+@_query(f"WITH {_CUM} SELECT series, ts, CAST(2 AS DOUBLE) AS initial, CAST(2 AS DOUBLE) AS multiplier, list(n ORDER BY bucket) AS counts FROM c GROUP BY 1, 2")
+def codec_histograms(spark, sf_dir):
+    """Histograms as bytes and back; readers get cumulative counts."""
+    return C.unpack_histograms(C.pack_histograms(H.packed(_histograms(spark, sf_dir), 2.0, 2.0))).select("series", "ts", "initial", "multiplier", "counts")
+
+
+@_query(f"SELECT pos // 100 AS part, list(v ORDER BY pos) AS \"values\" FROM ({_USERS}) GROUP BY 1")
+def codec_chunks(spark, sf_dir):
+    """Parts of 100 elements through sections of variable size, one list of sections for each 1,024 positions' parts."""
+    return C.chunk_round_trip(users(spark, sf_dir), 100, 16).select("part", "values")

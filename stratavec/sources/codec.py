@@ -2,18 +2,20 @@
 
 An octet is a mask byte (bit i: element i is not zero), and unless that is 0 a byte with (nibbles - 1) << 4 | trailing zero
 nibbles, then the non-zero elements, shifted right by the trailing nibbles, each in that many nibbles, low ones first.
-Python's integers serve as bit strings here; the codec is for interchange, not for the hot path."""
+Python's integers serve as bit strings here; the codec is for interchange, not for the hot path. In tables, u64 elements
+are bigints with the same 64 bits (see model.unsigned)."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.model import OCTET, SECTION, InputTooShort, InvalidFormat, InvalidNumRows, MAX_ROWS, WrongVectorType
+from ..functions.model import OCTET, SECTION, InputTooShort, InvalidFormat, InvalidNumRows, MAX_ROWS, WrongVectorType, whole
 
 #: Fixed values of the format.
 NULL, PACKED, DELTA, CONSTANT, XOR = 0, 1, 3, 5, 6
@@ -23,6 +25,10 @@ WIDTHS = {"u64": 8, "u32": 4, "f32": 4}
 HEADER = "<IBBHIHH"
 HEADER_BYTES = 16
 MASK = 2**64 - 1
+#: Half bytes that an element of 32 bits has.
+NARROW = 8
+#: Sections that readers decode at a time.
+SECTIONS_AT_ONCE = 256
 
 
 def pack_octet(values: list[int]) -> bytes:
@@ -42,8 +48,8 @@ def pack_octet(values: list[int]) -> bytes:
     return bytes([mask, (width - 1) << 4 | low]) + text.to_bytes((width * len(live) + 1) // 2, "little")
 
 
-def unpack_octet(data: bytes, at: int = 0) -> tuple[list[int], int]:
-    """(eight values, where the next octet begins)."""
+def unpack_octet(data: bytes, at: int = 0, most_nibbles: int = 16) -> tuple[list[int], int]:
+    """(eight values, where the next octet begins). most_nibbles is what an element may have: NARROW for 32 bits."""
     if at >= len(data):
         raise InputTooShort("no octet")
     mask = data[at]
@@ -52,6 +58,8 @@ def unpack_octet(data: bytes, at: int = 0) -> tuple[list[int], int]:
     if at + 2 > len(data):
         raise InputTooShort("octet without widths")
     width, low = (data[at + 1] >> 4) + 1, data[at + 1] & 15
+    if width > most_nibbles:
+        raise InvalidFormat(f"an octet of {width} nibbles, at most {most_nibbles} fit")
     end = at + 2 + (width * mask.bit_count() + 1) // 2
     if end > len(data):
         raise InputTooShort("octet is cut off")
@@ -72,11 +80,11 @@ def pack(values: Iterable[int]) -> bytes:
     return b"".join(pack_octet(values[i : i + OCTET]) for i in range(0, len(values), OCTET))
 
 
-def unpack(data: bytes, n: int, at: int = 0) -> tuple[list[int], int]:
+def unpack(data: bytes, n: int, at: int = 0, most_nibbles: int = 16) -> tuple[list[int], int]:
     """(n values rounded up to whole octets, where the stream ends)."""
     out: list[int] = []
     while len(out) < n:
-        octet, at = unpack_octet(data, at)
+        octet, at = unpack_octet(data, at, most_nibbles)
         out += octet
     return out, at
 
@@ -122,7 +130,7 @@ def unpack_doubles(data: bytes, n: int) -> list[float]:
 
 
 def _to_bits(kind: str, v) -> int:
-    return struct.unpack("<I", struct.pack("<f", v))[0] if kind == "f32" else int(v)
+    return struct.unpack("<I", struct.pack("<f", v))[0] if kind == "f32" else int(v) & (MASK if kind == "u64" else 0xFFFFFFFF)
 
 
 def _from_bits(kind: str, v: int):
@@ -179,24 +187,29 @@ def decode_section(kind: str, data: bytes, code: int, at: int) -> list:
         return [_from_bits(kind, 0)] * SECTION
     if code == CONSTANT:
         return [_from_bits(kind, int.from_bytes(data[at + 1 : at + 1 + WIDTHS[kind]], "little"))] * SECTION
+    most = 16 if kind == "u64" else NARROW
     if code == PACKED:
-        return unpack(data, SECTION, at + 3)[0]
+        return unpack(data, SECTION, at + 3, most)[0]
     if code == DELTA:
         base = int.from_bytes(data[at + 4 : at + 4 + WIDTHS[kind]], "little")
-        return [base + v for v in unpack(data, SECTION, at + 12)[0]]
-    bits = unpack(data, SECTION, at + 3)[0]
+        return [base + v & (MASK if kind == "u64" else 0xFFFFFFFF) for v in unpack(data, SECTION, at + 12, most)[0]]
+    bits = unpack(data, SECTION, at + 3, most)[0]
     for i in range(OCTET, SECTION):
         bits[i] ^= bits[i - OCTET]
     return [_from_bits(kind, b) for b in bits]
 
 
-def encode_vector(kind: str, values: Iterable, total_rows: int | None = None) -> bytes:
+Encoder = Callable[[str, list], bytes]
+
+
+def encode_vector(kind: str, values: Iterable, total_rows: int | None = None, encoder: Encoder = encode_section) -> bytes:
+    """A whole vector, finished with total_rows; encoder makes one section of the 256 elements that it gets."""
     values = [0 if v is None else v for v in values]
     n = len(values) if total_rows is None else total_rows
     if n < len(values) or n > MAX_ROWS:
         raise InvalidNumRows(f"{n} rows for {len(values)} elements")
     values += [0] * (-(-n // SECTION) * SECTION - len(values))
-    parts = [encode_section(kind, values[i : i + SECTION]) for i in range(0, len(values), SECTION)]
+    parts = [encoder(kind, values[i : i + SECTION]) for i in range(0, len(values), SECTION)]
     nulls = min(65535, sum(p[0] == NULL for p in parts))
     body = b"".join(parts)
     return struct.pack(HEADER, HEADER_BYTES - 4 + len(body), FIXED_SECTION_256, SUBTYPES[kind], 0, n, nulls, 0) + body
@@ -215,53 +228,74 @@ def open_bytes(data: bytes, kind: str | None = None) -> tuple[str, int, int]:
     return found, n, nulls
 
 
-def decode_vector(data: bytes, kind: str | None = None) -> list:
+def decoded_sections(data: bytes, kind: str | None = None) -> Iterator[list]:
+    """The elements of each section, those that pad the last one left out."""
     kind, n, _ = open_bytes(data, kind)
-    out: list = []
-    for code, at, _ in sections(data, kind):
-        out += decode_section(kind, data, code, at)
-    return out[:n]
+    for s, (code, at, _) in enumerate(sections(data, kind)):
+        yield decode_section(kind, data, code, at)[: max(0, n - s * SECTION)]
+
+
+def decode_vector(data: bytes, kind: str | None = None) -> list:
+    return [v for part in decoded_sections(data, kind) for v in part]
+
+
+def section_matches(kind: str, data: bytes, code: int, at: int, n: int, values: set) -> Iterable[int]:
+    """Which of a section's first n elements are among values; null and constant sections are decided without decoding."""
+    if code in (NULL, CONSTANT):
+        value = 0 if code == NULL else _from_bits(kind, int.from_bytes(data[at + 1 : at + 1 + WIDTHS[kind]], "little"))
+        return range(n) if value in values else ()
+    return [i for i, v in enumerate(decode_section(kind, data, code, at)[:n]) if v in values]
 
 
 def matching_positions(data: bytes, values: set, kind: str | None = None) -> Iterator[int]:
-    """Positions of elements among values; null and constant sections are decided without decoding."""
+    """Positions of elements among values."""
     kind, n, _ = open_bytes(data, kind)
     for s, (code, at, _) in enumerate(sections(data, kind)):
-        first, last = s * SECTION, min(n, (s + 1) * SECTION)
-        if code in (NULL, CONSTANT):
-            value = 0 if code == NULL else _from_bits(kind, int.from_bytes(data[at + 1 : at + 1 + WIDTHS[kind]], "little"))
-            if value in values:
-                yield from range(first, last)
-        else:
-            yield from (first + i for i, v in enumerate(decode_section(kind, data, code, at)[: last - first]) if v in values)
+        yield from (s * SECTION + i for i in section_matches(kind, data, code, at, min(SECTION, n - s * SECTION), values))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _element(kind: str) -> tuple[pa.DataType, str, Callable]:
+    """Arrow and SQL type of a table's elements, and an array of them."""
+    if kind == "f32":
+        return pa.float32(), "float", lambda v: pa.array(v, pa.float32())
+    return pa.int64(), "bigint", lambda v: pa.array([x - 2**64 if x >= 2**63 else x for x in v], pa.int64())
+
+
+def _wanted(kind: str, values: Iterable) -> set:
+    return set(values) if kind == "f32" else {int(v) & (MASK if kind == "u64" else 0xFFFFFFFF) for v in values}
+
+
 def read_binary_vectors(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(vec, pos, v) of the vector files under a path; vec is the file's path. One file is one task's work at most."""
+    """(vec, pos, v) of the vector files under a path; vec is the file's path. One file is one task's work at most,
+    decoded SECTIONS_AT_ONCE sections at a time."""
+    _, sql, array = _element(kind)
 
     def run(batches):
-        import pyarrow as pa
-
-        element = pa.float32() if kind == "f32" else pa.int64()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = decode_vector(content, kind)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(range(len(values)), pa.int64()), pa.array(values, element)], names=["vec", "pos", "v"])
+                held, at = [], 0
+                for k, part in enumerate(decoded_sections(content, kind)):
+                    held += part
+                    if (k + 1) % SECTIONS_AT_ONCE == 0:
+                        yield rows(name, at, held)
+                        held, at = [], at + len(held)
+                yield rows(name, at, held)
 
-    return _files(spark, path).mapInArrow(run, f"vec string, pos bigint, v {'float' if kind == 'f32' else 'bigint'}")
+    def rows(name, at, values):
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(range(at, at + len(values)), pa.int64()), array(values)], names=["vec", "pos", "v"])
+
+    return _files(spark, path).mapInArrow(run, f"vec string, pos bigint, v {sql}")
 
 
 def read_matching(spark: SparkSession, path: str, kind: str, values: Iterable) -> DataFrame:
     """(vec, pos) of the elements among values, filtered in the encoded bytes."""
-    wanted = set(values)
+    wanted = _wanted(kind, values)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = list(matching_positions(content, wanted, kind))
@@ -270,15 +304,79 @@ def read_matching(spark: SparkSession, path: str, kind: str, values: Iterable) -
     return _files(spark, path).mapInArrow(run, "vec string, pos bigint")
 
 
-def encode_sections(df: DataFrame, kind: str) -> DataFrame:
-    """(vec, sect, encoded): each section of the vectors (vec, pos, v) as bytes, sections spread over tasks."""
+def encode_sections(df: DataFrame, kind: str, encoder: Encoder = encode_section) -> DataFrame:
+    """(vec, sect, n, encoded): each section of the vectors (vec, pos, v) as bytes, sections spread over tasks. encoder
+    makes a section's bytes from its 256 elements, zeros after the first n."""
 
     @F.pandas_udf("binary")
     def encode(values: pd.Series) -> pd.Series:
-        return pd.Series([encode_section(kind, list(v) + [0] * (SECTION - len(v))) for v in values])
+        return pd.Series([encoder(kind, v.tolist() + [0] * (SECTION - len(v))) for v in values])
+
+    rows = whole(df).groupBy("vec", F.shiftright("pos", 8).alias("sect")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))  # 256 at most
+    return rows.select("vec", "sect", F.size("s").alias("n"), encode(F.transform("s", lambda x: x["v"])).alias("encoded"))
+
+
+def _section_code(kind: str, data: bytes) -> int:
+    code, _, _ = next(sections(bytes(HEADER_BYTES) + data, kind))
+    return code
+
+
+def decode_sections(encoded: DataFrame, kind: str) -> DataFrame:
+    """(vec, pos, v) of the sections that encode_sections made."""
+    _, sql, array = _element(kind)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                vec, sect, n, data = (c[i].as_py() for c in batch.columns)
+                values = decode_section(kind, data, _section_code(kind, data), 0)[:n]
+                yield pa.RecordBatch.from_arrays([pa.array([vec] * n, pa.string()), pa.array(range(sect * SECTION, sect * SECTION + n), pa.int64()), array(values)], names=["vec", "pos", "v"])
+
+    return encoded.select("vec", "sect", "n", "encoded").mapInArrow(run, f"vec string, pos bigint, v {sql}")
+
 
-    rows = df.groupBy("vec", F.shiftright("pos", 8).alias("sect")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))  # 256 at most
-    return rows.select("vec", "sect", encode(F.transform("s", lambda x: F.coalesce(x["v"], F.lit(0)))).alias("encoded"))
+def match_sections(encoded: DataFrame, kind: str, values: Iterable) -> DataFrame:
+    """(vec, pos) of the elements among values, filtered in the bytes that encode_sections made."""
+    wanted = _wanted(kind, values)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                vec, sect, n, data = (c[i].as_py() for c in batch.columns)
+                found = [sect * SECTION + k for k in section_matches(kind, data, _section_code(kind, data), 0, n, wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array([vec] * len(found), pa.string()), pa.array(found, pa.int64())], names=["vec", "pos"])
+
+    return encoded.select("vec", "sect", "n", "encoded").mapInArrow(run, "vec string, pos bigint")
+
+
+#: The stream forms: how a list becomes bytes and, with its length, a list again.
+STREAMS: dict[str, tuple[Callable, Callable]] = {
+    "plain": (pack, lambda data, n: unpack(data, n)[0][:n]),
+    "delta": (pack_deltas, lambda data, n: unpack_deltas(data, n)[:n]),
+    "double": (lambda v: pack_doubles(v) if len(v) else b"", lambda data, n: unpack_doubles(data, n) if n else []),
+}
+
+
+def pack_streams(df: DataFrame, column: str, form: str, out: str = "packed") -> DataFrame:
+    """df with the lists of a column as bytes of one of STREAMS."""
+
+    @F.pandas_udf("binary")
+    def packed(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: None if v is None else STREAMS[form][0](v.tolist()))
+
+    return df.withColumn(out, packed(column))
+
+
+def unpack_streams(df: DataFrame, column: str, n: str, form: str, out: str = "unpacked") -> DataFrame:
+    """df with the lists that a column's bytes hold; n names the column with their lengths."""
+    wide = _element("u64")[2]
+
+    @F.pandas_udf("array<double>" if form == "double" else "array<bigint>")
+    def unpacked(data: pd.Series, sizes: pd.Series) -> pd.Series:
+        back = lambda b, k: STREAMS[form][1](b, int(k))
+        return pd.Series([None if b is None else back(b, k) if form == "double" else wide(back(b, k)).to_pylist() for b, k in zip(data, sizes)])
+
+    return df.withColumn(out, unpacked(column, n))
 
 
 #: Format codes of packed histograms.
@@ -301,6 +399,26 @@ def unpack_histogram(data: bytes) -> tuple[float, float, list[int]]:
     return initial, multiplier, unpack_deltas(data[3 + size :], n)[:n]
 
 
+def pack_histograms(packed: DataFrame) -> DataFrame:
+    """series, ts, encoded, from (series, ts, histogram: struct(initial, multiplier, buckets))."""
+
+    @F.pandas_udf("binary")
+    def encode(h: pd.DataFrame) -> pd.Series:
+        return pd.Series([pack_histogram(i, m, b.tolist()) for i, m, b in zip(h.initial, h.multiplier, h.buckets)])
+
+    return packed.select("series", "ts", encode("histogram").alias("encoded"))
+
+
+def unpack_histograms(encoded: DataFrame) -> DataFrame:
+    """series, ts, initial, multiplier, counts (cumulative)."""
+
+    @F.pandas_udf("initial double, multiplier double, counts array<bigint>")
+    def decode(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unpack_histogram(b) for b in data], columns=["initial", "multiplier", "counts"])
+
+    return encoded.select("series", "ts", decode("encoded").alias("h")).select("series", "ts", "h.*")
+
+
 def write_chunks(parts: Iterable[tuple[bytes, int]], code: int, max_elements: int, max_bytes: int = 65535) -> bytes:
     """Variable-size sections: parts of (bytes, elements) one after the other, each section with at most so many
     elements and bytes, behind a header of its bytes, elements and type."""
@@ -328,3 +446,19 @@ def read_chunks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             raise InputTooShort("section is cut off")
         yield code, n, data[at + 5 : at + 5 + size]
         at += 5 + size
+
+
+def chunk_round_trip(df: DataFrame, elements: int, parts: int) -> DataFrame:
+    """(vec, part, values) of a vector's consecutive parts of so many elements, after they were written as sections of
+    variable size, `parts` parts to a byte string, and read again."""
+    kind = "vec string, part bigint, values array<bigint>"
+    at = F.floor(F.col("pos") / elements).cast("bigint")
+    lists = whole(df).groupBy("vec", at.alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("values"))
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        data = write_chunks([(pack(v.tolist()), len(v)) for v in rows["values"]], PACKED, elements)
+        back = [unpack(body, n)[0][:n] for _, n, body in read_chunks(data)]
+        return pd.DataFrame({"vec": rows.vec.tolist(), "part": rows.part.tolist(), "values": back})
+
+    return lists.groupBy("vec", F.floor(F.col("part") / parts)).applyInPandas(each, kind)

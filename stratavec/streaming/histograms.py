@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 _OUT = "series string, ts bigint, n array<bigint>, value_dropped boolean"
 
 
-def stream_time_diff(rows: DataFrame) -> DataFrame:
+def stream_time_diff(rows: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(series, ts, n: counts by bucket) -> (series, ts, n: differences, value_dropped).
 
     Snapshots of a series are taken in order of ts within a trigger; later triggers go on from the state. A snapshot
-    that is not newer than the last one of its series is left out."""
+    that is not newer than the last one of its series is left out. The state of a series that has had no snapshot for
+    idle_ms of processing time is dropped, and its next one counts as its first; by default states are kept."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_ts, last = state.get if state.exists else (None, [])
         last = list(last)
         out = []
@@ -31,9 +35,12 @@ def stream_time_diff(rows: DataFrame) -> DataFrame:
             last_ts, last = int(row.ts), now
         if last_ts is not None:
             state.update((last_ts, last))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["series", "ts", "n", "value_dropped"])
 
-    return rows.select("series", "ts", "n").groupBy("series").applyInPandasWithState(step, _OUT, "ts bigint, n array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.select("series", "ts", "n").groupBy("series").applyInPandasWithState(step, _OUT, "ts bigint, n array<bigint>", "append", timeout)
 
 
 def stream_section_counts(rows: DataFrame, predicate: Column) -> DataFrame:

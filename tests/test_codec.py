@@ -8,13 +8,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratavec.functions.model import InputTooShort, InvalidNumRows, WrongVectorType
+from stratavec.functions.model import InvalidFormat, InputTooShort, InvalidNumRows, WrongVectorType
 from stratavec.operators import encoding as E
 from stratavec.sources import codec as C
 from tests.test_vectors import make
 
 
-def test_known_bytes():
+def test_known_bytes():  # fixed values of the format
     assert C.pack_octet([0] * 8) == b"\0"
     even = C.pack_octet([0xFEDCBA0000] * 8)
     assert len(even) == 26 and even[:5] == bytes.fromhex("ff54badcfe")
@@ -125,3 +125,43 @@ def test_variable_sections():
         C.write_chunks([(b"x" * 70_000, 1)], C.PACKED, 256)
     with pytest.raises(InputTooShort):
         list(C.read_chunks(data[:-1]))
+
+
+def test_wide_values_and_files(spark, tmp_path):
+    v = [2**64 - 1, 2**63, 5, 0] * 200
+    (tmp_path / "w").write_bytes(C.encode_vector("u64", v))
+    got = [r.v % 2**64 for r in C.read_binary_vectors(spark, str(tmp_path), "u64").orderBy("pos").collect()]
+    assert got == v
+    assert C.read_matching(spark, str(tmp_path), "u64", [2**63]).count() == 200
+    assert C.read_matching(spark, str(tmp_path), "u64", [-(2**63)]).count() == 200
+
+
+def test_too_many_nibbles_for_32_bits():
+    wide = C.pack([2**40 - 1] * 8)
+    assert C.unpack(wide, 8)[0] == [2**40 - 1] * 8
+    with pytest.raises(InvalidFormat):
+        C.unpack(wide, 8, most_nibbles=C.NARROW)
+    section = C.encode_section("u64", list(range(2**40, 2**40 + 255)) + [1])
+    with pytest.raises(InvalidFormat):
+        C.decode_section("u32", section, section[0], 0)
+
+
+def test_another_encoder(spark):
+    plain = lambda kind, v: bytes([C.PACKED]) + struct.pack("<H", len(C.pack(v))) + C.pack(v)
+    v = list(range(10_000, 10_300))
+    data = C.encode_vector("u64", v, encoder=plain)
+    assert [code for code, _, _ in C.sections(data, "u64")] == [C.PACKED] * 2 and C.decode_vector(data) == v
+    encoded = C.encode_sections(make(spark, v), "u64", plain)
+    assert {r.encoded[0] for r in encoded.collect()} == {C.PACKED}
+    assert [r.v for r in C.decode_sections(encoded, "u64").orderBy("pos").collect()] == v
+
+
+@pytest.mark.parametrize("n", [256, 300, 5, 511])
+def test_float_sizes_agree_with_bytes(spark, n):
+    v = [struct.unpack("<f", struct.pack("<f", (i % 37) / 2.8))[0] for i in range(n)]
+    data = C.encode_vector("f32", v)
+    got = E.float_section_bytes(make(spark, v, "float")).orderBy("sect").collect()
+    assert [r.bytes for r in got] == [end - at for _, at, end in C.sections(data, "f32")] and sum(r.n for r in got) == n
+    assert E.float_vector_stats(make(spark, v, "float")).first().bytes == len(data)
+    with_nan = make(spark, [0.0, float("nan")] + [0.0] * 254 + [2.5] * 256, "float")
+    assert [r.bytes for r in E.float_section_bytes(with_nan).orderBy("sect").collect()][1] == 5

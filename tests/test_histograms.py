@@ -5,6 +5,7 @@ import pandas as pd
 from stratavec.operators import histograms as H
 from stratavec.streaming.histograms import stream_time_diff
 
+# Three snapshots of cumulative counts.
 SNAPSHOTS = [
     [0, 1000, 1001, 1002, 1003, 2005, 2010, 3034, 4045, 5056, 6067, 7078],
     [3, 1004, 1006, 1008, 1009, 2012, 2020, 3056, 4070, 5090, 6101, 7150],
@@ -37,6 +38,13 @@ def test_reset_keeps_the_new_count(spark):
     assert [r.value_dropped for r in H.resets(df).orderBy("ts").collect()] == [False, True]
 
 
+def test_time_diff_over_blocks(spark):
+    snapshots = [[(t * 7 + b) % 11 for b in range(3)] for t in range(0, 40)]
+    df = long_form(spark, snapshots).where("ts % 5 <> 2")
+    for operator in (H.time_diff, H.resets):
+        assert sorted(operator(df, span=3).collect()) == sorted(operator(df, span=1000).collect())
+
+
 def test_packed(spark):
     got = H.packed(long_form(spark, [[1, 2, 3]]), 2.0, 1.5).first().histogram
     assert (got.initial, got.multiplier, got.buckets) == (2.0, 1.5, [1, 2, 3])

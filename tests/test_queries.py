@@ -37,9 +37,25 @@ def test_query(spark, con, name):
     assert sorted(tuple(norm(row[c]) for c in sorted(cols)) for row in df.collect()) == expected
 
 
-def test_filters_reach_the_scan(spark):
-    plan = registry.QUERIES["multi_filter_count"](spark, SF)._jdf.queryExecution().toString()
-    assert "EqualTo(l_linenumber,3)" in plan and "In(l_quantity" in plan and "ReadSchema: struct<l_linenumber:int,l_quantity:double>" in plan
+PUSHED = {
+    "filter_eq_count_u32": ["EqualTo(l_linenumber,3)"],
+    "filter_eq_count_u64": ["EqualTo(user_id,7)"],
+    "filter_eq_count_f64": ["EqualTo(l_discount,0.05)"],
+    "filter_oneof_count": ["In(user_id, [3,5])"],
+    "filter_oneof_positions": ["In(user_id, [3,5])"],
+    "filter_eq_positions": ["EqualTo(user_id,3)"],
+    "multi_filter_count": ["EqualTo(l_linenumber,3)", "In(l_quantity, [10.0,5.0])"],
+    "multi_filter_positions": ["EqualTo(event_type,click)", "In(user_id, [1,2,3,4,5])"],
+    "multi_filter_join": ["In(user_id, [1,2,3])", "LessThanOrEqual(o_custkey,500)", "EqualTo(o_orderstatus,F)"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(PUSHED))
+def test_filters_reach_the_scan(spark, name):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().explainString(mode)
+    pushed = " ".join(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert all(p in pushed for p in PUSHED[name]), pushed
 
 
 def test_entry_module_imports(spark):

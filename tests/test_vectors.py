@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratavec.functions import bits
 from stratavec.functions import predicates as P
-from stratavec.functions.model import InvalidNumRows, WrongVectorType, require_type
+from stratavec.functions.model import InvalidNumRows, WrongVectorType, require_type, unsigned
 from stratavec.operators import encoding as E
 from stratavec.operators import terminals as T
 from stratavec.operators import transforms as X
@@ -85,7 +85,7 @@ def test_empty_list_empty_vector_and_conjunction(spark):
         P.all_of()
     short, long = make(spark, [1] * 300), make(spark, [1] * 600)
     assert T.matching_rows((long, P.equals("v", 1)), (short, P.equals("v", 1))).count() == 300
-    both = most_selective_first(df, [F.col("v") >= 0, F.col("v") == 3], fraction=1.0)
+    both = most_selective_first(df, [F.col("v") >= 0, F.col("v") == 3])
     assert T.count_hits(df, both).first().n == 1
 
 
@@ -107,6 +107,62 @@ def test_dense_positions(spark):
     assert [r.pos for r in got] == list(range(3000)) and [r.k for r in got] == sorted(keys)
 
 
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_positions_do_not_depend_on_the_columns_read(spark, partitions):
+    n = 2_000_000 if partitions == 8 else 300_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(n).select(((F.col("id") * 1_000_003) % n).alias("k"), F.sha1(F.col("id").cast("string")).alias("payload"))
+        got = S.with_positions(df, "k")
+        for columns in (["k"], ["k", "payload"]):
+            one = got.select("pos", *columns).agg(F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.count_if(F.col("pos") != F.col("k"))).first()
+            assert tuple(one) == (n, 0, n - 1, 0)
+        tied = S.with_positions(df.withColumn("k", F.lit(1)).limit(5000), "k")
+        assert tied.select("pos", "payload").agg(F.countDistinct("pos")).first()[0] == 5000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_empty_vectors_are_filled(spark):
+    empty = make(spark, [])
+    assert values(S.finish(empty, 10)) == [0] * 10 and S.finish(empty, 0).count() == 0
+    assert values(S.append_nulls(empty, 3)) == [0] * 3
+    sizes = spark.createDataFrame([("a", 2), ("b", 3)], "vec string, n bigint")
+    assert S.densify(empty, sizes=sizes).count() == 5
+
+
+def test_wide_unsigned_elements(spark):
+    df = make(spark, [1, -1, 2**62, None])
+    wrapped = X.add_constant_wrapping(df, 2**63 + 5, 64).withColumn("v", unsigned("v"))
+    assert [int(v) for v in values(wrapped)] == [(v % 2**64 + 2**63 + 5) % 2**64 for v in (1, -1, 2**62, 0)]
+    assert values(X.add_constant_wrapping(df, -1, 64)) == [0, -2, 2**62 - 1, -1]
+
+
+def test_operators_read_nulls_as_zeros(spark):
+    df = make(spark, [5, None, 3])
+    assert values(X.running_sum(df)) == [5, 5, 8] and values(X.successive_delta(df)) == [5, 0, 3]
+    assert T.fold(df, F.min("v").alias("m")).first().m == 0 and X.section_arrays(df).first()["values"] == [5, 0, 3]
+    assert values(X.delta_from_least(df)) == [5, 0, 3] and values(X.xor_octets(df)) == [5, 0, 3]
+
+
+def test_masks_combine(spark):
+    a = T.section_masks(make(spark, [i % 4 for i in range(600)]), P.equals("v", 1))
+    b = T.section_masks(make(spark, [i % 6 for i in range(400)]), P.equals("v", 1))
+    at = lambda m: sorted(r.pos for r in T.mask_positions(m).collect())
+    assert at(T.masks_and(a, b)) == [i for i in range(400) if i % 12 == 1]
+    assert at(T.masks_or(a, b)) == sorted({i for i in range(600) if i % 4 == 1} | {i for i in range(400) if i % 6 == 1})
+    assert at(T.filter_masks(a, lambda m: F.lit(0).cast("bigint"))) == []
+
+
+def test_csv_lines_are_numbered_over_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1\n2\n")
+    (tmp_path / "b.csv").write_text("\n".join(map(str, range(3, 500))) + "\n")
+    (tmp_path / "c.csv").write_text("500\n")
+    got = S.csv_histograms(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [(r.ts, r.n) for r in got] == [(i, i + 1) for i in range(500)]
+
+
 def test_csv_histograms(spark, tmp_path):
     (tmp_path / "h.csv").write_text("1,2,3\n4,6, 8\n")
     got = S.csv_histograms(spark, str(tmp_path)).orderBy("ts", "bucket").collect()
