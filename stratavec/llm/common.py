@@ -2,72 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_fallback: dict[str, str] = {}
+from ..sources.scratch import discard, saved, scratch_path, shared_dir
+
+__all__ = ["broadcast_bytes", "discard", "filter_rows", "map_rows", "saved", "scratch_path", "shared_dir", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="stratavec-")
-    return f"file://{_fallback[app]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/stratavec/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-    except Exception:  # the JVM may have ended before
-        pass
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again. This cuts the lineage in a way that outlives executors, and
-    lets Spark drop the shuffle files of the job that made it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes saved tables that no later job reads."""
-    for df in tables:
-        _remove(df.sparkSession, df._scratch_path)
+def slices(batches: Iterator[pa.RecordBatch], bytes_at_once: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about bytes_at_once bytes, one row at least."""
+    for batch in batches:
+        step = max(1, int(bytes_at_once * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, each: Callable[..., Iterator[tuple]], setup: Callable | None = None, bytes_at_once: int = 8_000_000) -> DataFrame:
@@ -83,13 +37,10 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, each: Callable[...,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
-            n = batch.num_rows
-            step = max(1, min(n, int(bytes_at_once * n / max(1, batch.nbytes))))
-            for at in range(0, n, step):
-                rows = list(each(state, *(c.to_pylist() for c in batch.slice(at, step).columns)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        for part in slices(batches, bytes_at_once):
+            rows = list(each(state, *(c.to_pylist() for c in part.columns)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -100,11 +51,8 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[object, str | None],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
-            step = max(1, int(bytes_at_once * batch.num_rows / max(1, batch.nbytes)))
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                yield part.filter(pa.array([keep(state, v) for v in part.column(at).to_pylist()], pa.bool_()))
+        for part in slices(batches, bytes_at_once):
+            yield part.filter(pa.array([keep(state, v) for v in part.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -34,16 +34,15 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(value, cut)), np.diff(np.searchsorted(first, starts))
 
 
-def shingle_hashes(texts: list[str | None], width: int = 5, labelled: bool = False) -> list[np.ndarray]:
-    """Per text, hashes of its shingles in text order; labelled: each with how often it occurred before, so that no two
-    of a text are equal. A text of fewer than `width` words, but not none, is one shingle."""
-    h, counts = word_hashes(texts)
-    ends = np.cumsum(counts)
-    out_counts = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+def shingles_of(h: np.ndarray, counts: np.ndarray, width: int, labelled: bool = False) -> list[np.ndarray]:
+    """Per text, hashes of its shingles in text order, from word_hashes; labelled: each with how often it occurred before,
+    so that no two of a text are equal. A text of fewer than `width` words, but not none, is one shingle."""
+    n_texts, ends = len(counts), np.cumsum(counts)
     if not len(h):
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return [np.zeros(0, np.uint64) for _ in range(n_texts)]
+    out_counts = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     padded = np.concatenate([h, np.zeros(width, np.uint64)])
-    doc = np.repeat(np.arange(len(texts)), out_counts)
+    doc = np.repeat(np.arange(n_texts), out_counts)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(out_counts) - out_counts, out_counts) + (ends - counts)[doc]
     s = np.zeros(len(doc), np.uint64)
     for k in range(width):
@@ -56,3 +55,9 @@ def shingle_hashes(texts: list[str | None], width: int = 5, labelled: bool = Fal
     label = np.empty(len(s), np.uint64)
     label[order] = (np.arange(len(s)) - np.repeat(run, np.diff(np.append(run, len(s))))).astype(np.uint64)
     return np.split(mixed(s + label * K2), np.cumsum(out_counts)[:-1])
+
+
+def texts_words(texts: list[str | None]) -> list[np.ndarray]:
+    """Per text, hashes of its words in text order."""
+    h, counts = word_hashes(texts)
+    return np.split(h, np.cumsum(counts)[:-1])
