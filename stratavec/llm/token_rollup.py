@@ -8,20 +8,25 @@ of changes, each row one of
 * revise:   0 documents, n_tokens - old_tokens.
 
 A batch is summed to one delta row per key before anything is stored, with partial sums per task, so a source that
-holds a third of all rows costs no more than others. A batch commits by the atomic creation of a marker file that
-names its delta files: a batch id that has been committed already changes nothing, a job that dies before its marker
-leaves files that nobody reads, and of two writers of one batch the first marker wins. compact() folds the committed
-deltas into one, so that readers never open more than the deltas since then.
-
-Rows: null source, language or tokenizer are keys like any other; a null text has no tokens; a null count is 0;
-repeated rows count as often as they occur; an empty batch commits and changes nothing; extra columns are not read.
-Keys whose totals are all zero are left out of totals().
+holds a third of all rows costs no more than others. A batch commits by a marker that names its delta files. The marker
+is written in full under another name and then published by a move that never overwrites, so that it is there as a whole
+or not at all: a batch id that has been committed already changes nothing, a job that dies before the move leaves
+files that nobody reads and may run again, and of two writers of one batch the first one wins. compact() folds the
+committed deltas into a snapshot, so that readers never open more than the deltas since then; it sums the very
+markers that it lists as held, and of two compactions of one state the first one wins.
+
+Rows: null source, language or tokenizer are keys like any other; a null text has no tokens, a very long one is counted
+whole; a null count is 0; repeated rows count as often as they occur; rows whose op is null or none of the three are no
+changes and are left out; an empty batch commits and changes nothing; extra columns are not read, so clashing names do
+not matter. Keys whose totals are all zero are left out of totals().
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +52,38 @@ class TokenRollup:
 
     def _marks(self) -> list[str]:
         where = self._paths(f"{self.path}/commits")
-        return sorted(str(s.getPath().getName()) for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
-
-    def _read_mark(self, name: str) -> str:
-        return "".join(r.value for r in self.spark.read.text(f"{self.path}/commits/{name}").collect())
+        names = [str(s.getPath().getName()) for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        return sorted(n for n in names if n[0] in "bs")
+
+    def _read_marks(self, names: list[str]) -> dict[str, str]:
+        """The contents of markers, by name; one driver row for each."""
+        if not names:
+            return {}
+        rows = self.spark.read.text([f"{self.path}/commits/{n}" for n in names], wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+        return {r.name: r.value for r in rows.collect()}
+
+    def _publish(self, mark: str, content: str) -> bool:
+        """The marker with its whole content, or False if it is there already."""
+        ready, final = f"{self.path}/ready/{uuid.uuid4().hex}", f"{self.path}/commits/{mark}"
+        out = self._fs.create(self._paths(ready), False)
+        out.write(content.encode())
+        out.close()
+        self._fs.mkdirs(self._paths(f"{self.path}/commits"))
+        try:
+            if self._fs.getScheme() == "file":  # a move would overwrite there; a second name for a file does not
+                os.link(urlparse(ready).path, urlparse(final).path)
+            else:
+                jvm = self.spark._jvm
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._paths(final).toUri(), self.spark._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(self._paths(ready), self._paths(final), none)
+        except Exception:
+            if self._fs.exists(self._paths(final)):
+                return False
+            raise
+        finally:
+            self._fs.delete(self._paths(ready), False)
+        return True
 
     @staticmethod
     def _name(batch_id: str) -> str:
@@ -67,47 +100,38 @@ class TokenRollup:
         sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
         tokens = F.when(F.col("op") == "revise", n - old).otherwise(sign * n)
         delta = changes.where(F.col("op").isin("insert", "delete", "revise")).groupBy(*KEYS).agg(F.sum(sign).alias("n_docs"), F.sum(tokens).alias("n_tokens"))
-        return self._publish(self._name(batch_id), delta)
+        return self._publish(self._name(batch_id), self._store(delta))
 
-    def _publish(self, mark: str, delta: DataFrame) -> bool:
+    def _store(self, delta: DataFrame) -> str:
+        """The name of newly written rows that nobody reads yet."""
         attempt = uuid.uuid4().hex
-        delta.select(*KEYS, F.col("n_docs").cast("bigint").alias("n_docs"), F.col("n_tokens").cast("bigint").alias("n_tokens")).coalesce(1).write.parquet(f"{self.path}/deltas/{attempt}")
-        try:
-            out = self._fs.create(self._paths(f"{self.path}/commits/{mark}"), False)
-        except Exception:
-            if self._fs.exists(self._paths(f"{self.path}/commits/{mark}")):
-                return False
-            raise
-        out.write(attempt.encode())
-        out.close()
-        return True
+        delta.select(*KEYS, F.col("n_docs").cast("bigint").alias("n_docs"), F.col("n_tokens").cast("bigint").alias("n_tokens")).write.parquet(f"{self.path}/deltas/{attempt}")
+        return attempt
 
-    def _live(self) -> list[str]:
-        """The attempts to sum: the last snapshot's, and of those batches that it does not hold."""
-        marks = self._marks()
-        snapshots = [m for m in marks if m.startswith("s")]
+    def _live(self, marks: list[str]) -> list[str]:
+        """What the markers hold: the last snapshot's rows, and those of the batches that it does not hold."""
+        snapshots, batches = [m for m in marks if m.startswith("s")], [m for m in marks if m.startswith("b")]
         if not snapshots:
-            return [self._read_mark(m) for m in marks]
-        attempt, *held = self._read_mark(snapshots[-1]).split(",")
-        return [attempt] + [self._read_mark(m) for m in marks if m.startswith("b") and m not in held]
+            return list(self._read_marks(batches).values())
+        attempt, *held = self._read_marks(snapshots[-1:])[snapshots[-1]].split(",")
+        return [attempt, *self._read_marks(sorted(set(batches) - set(held))).values()]
 
-    def compact(self) -> None:
-        """Folds all committed deltas into a snapshot. Batches keep their markers, so they stay idempotent."""
+    def compact(self) -> bool:
+        """Folds the committed deltas into a snapshot. Batches keep their markers, so they stay idempotent; one that
+        commits meanwhile stays a delta. False if another compaction was first."""
         marks = self._marks()
         held = [m for m in marks if m.startswith("b")]
-        number = sum(m.startswith("s") for m in marks)
-        attempt = uuid.uuid4().hex
-        self.totals().coalesce(1).write.parquet(f"{self.path}/deltas/{attempt}")
-        out = self._fs.create(self._paths(f"{self.path}/commits/s{number:09d}"), False)
-        out.write(",".join([attempt, *held]).encode())
-        out.close()
+        return self._publish(f"s{len(marks) - len(held):09d}", ",".join([self._store(self._sums(marks)), *held]))
 
     def totals(self) -> DataFrame:
-        live = self._live()
+        return self._sums(self._marks()).where("n_docs <> 0 OR n_tokens <> 0")
+
+    def _sums(self, marks: list[str]) -> DataFrame:
+        live = self._live(marks)
         if not live:
             return self.spark.createDataFrame([], _DELTA)
         deltas = self.spark.read.schema(_DELTA).parquet(*(f"{self.path}/deltas/{a}" for a in live))
-        return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
+        return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, columns: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
