@@ -6,17 +6,22 @@ window's rarest one, where rarity is the word's document frequency over all docu
 the only possible window start (positional bound), which must leave room for the whole window (length bound); then
 the words are compared.
 
-Plan: one scan counts documents per benchmark word (partial counts per task, so what is shuffled is at most a
-vocabulary per task), one scan matches. Documents are never shuffled. The benchmark is taken in blocks of a bounded
-size; each block is broadcast and matched in a pass of its own over the same rows, so a benchmark of any size works.
-
-Rows: a null or empty text has no words and gets zeros and empty lists; null ids stay; repeated rows each get their
-own result; items without words never match; equal item texts count as one item per distinct item id, and a null
-item_id is reported as 'null'. An empty benchmark leaves all documents clean.
+Plan: the benchmark's windows are made, rid of repeats and given their rarest word by jobs over the benchmark; for that
+one scan counts documents per benchmark word (partial counts per task, so what is shuffled is at most a vocabulary per
+task). Windows, not items or rows, are dealt to blocks by hash, so a block is bounded however long an item is and however
+often it repeats; a block's size is measured on what is broadcast. A scan matches the documents, which are never
+shuffled. A benchmark of several blocks has a scan for each, whose tasks hold that block only; the hits of equal rows
+are then put together by id and text hash.
+
+Rows: a null or empty text has no words and gets zeros and empty lists; null ids stay; very long texts are matched whole;
+repeated rows each get their own result; items without words never match; rows of one item id are one item; a null item_id
+counts as an item without a name: it is in the count, but not in the list of names. An empty benchmark leaves all
+documents clean, an empty table gives an empty result; extra columns are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, filter_rows, map_rows, table
+from .common import broadcast_bytes, filter_rows, map_rows, saved, table
 
 WIDTH = 10
-#: Bytes of benchmark text that one block holds, as planned; a block may be broadcast up to four times that.
+#: Bytes of windows, and of words, that one block is planned for; what is broadcast may be up to BLOCK_LIMIT times that.
 BLOCK_BYTES = 16_000_000
+BLOCK_LIMIT = 8
+#: Bytes that a window takes in a block beside its text, about.
+WINDOW_BYTES = 100
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -46,33 +54,74 @@ def windows(item_words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
     return {tuple(item_words[i : i + width]) for i in range(len(item_words) - width + 1)}
 
 
-def document_frequency(docs: DataFrame, vocabulary) -> dict[bytes, int]:
-    """Over all documents, in how many each word of the broadcast vocabulary occurs."""
+def _planned(rows: DataFrame, n_bytes, block_bytes: int) -> int:
+    return max(1, -(-(rows.agg(F.sum(n_bytes)).first()[0] or 0) // block_bytes))
+
+
+def _block(rows: DataFrame, columns: list[str], n_blocks: int, b: int) -> DataFrame:
+    return rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64(*columns), F.lit(n_blocks)) == b)
+
+
+def document_frequency(docs: DataFrame, vocabulary: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """word, n: over all documents, in how many each word of the vocabulary (word) occurs; a scan for each block of it."""
+
+    def counts(known) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, found = known.value, Counter()
+            for batch in batches:
+                for text in batch.column(0):
+                    if (t := text.as_py()):
+                        found.update(wanted.intersection(words(t)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+        return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+    n_blocks = _planned(vocabulary, F.octet_length("word") + 40, block_bytes)
+    out = None
+    for b in range(n_blocks):
+        known = pickle.dumps(frozenset(bytes(r.word) for r in _block(vocabulary, ["word"], n_blocks, b).collect()))  # one block
+        part = counts(broadcast_bytes(docs.sparkSession, pickle.loads(known), len(known), BLOCK_LIMIT * block_bytes, "block of words"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """item_id (string), window (its words, joined by blanks): distinct."""
+
+    def each(_, ids, texts):
+        for i, text in zip(ids, texts):
+            for w in windows(words(text), width):
+                yield i, b" ".join(w)
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).distinct()
+    return map_rows(items, ["item_id", "text"], "item_id string, window binary", each).distinct()
+
+
+def prefixed_windows(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """item_id, window, word, place: the windows all of whose words occur in some document, with the rarest and its place."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = vocabulary.value, Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                if (t := text.as_py()):
-                    found.update(known.intersection(words(t)))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+    def split(_, texts):
+        for w in texts:
+            for place, word in enumerate(w.split()):
+                yield w, place, word
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in counts.collect()}  # at most the block's vocabulary
+    found = saved(benchmark_windows(benchmark, width), "windows")
+    places = saved(map_rows(found.select("window").distinct(), ["window"], "window binary, place int, word binary", split), "places")
+    rarity = document_frequency(docs, places.select("word").distinct(), block_bytes)
+    rarest = places.join(rarity, "word", "left").groupBy("window").agg(F.min(F.struct("n", "word", "place")).alias("r"), F.count_if(F.col("n").isNull()).alias("lost"))
+    rarest = rarest.where("lost = 0").select("window", "r.word", "r.place")
+    return saved(found.join(rarest, "window").select("item_id", "window", "word", "place"), "prefixed")
 
 
-def _index(items: list[tuple[str, list[bytes]]], rarity: dict[bytes, int], width: int) -> dict:
-    """rarest word -> [(its place in the window, the window, its items)]."""
-    owners: dict[tuple, set] = defaultdict(set)
-    for item, ws in items:
-        for w in windows(ws, width):
-            owners[w].add(item)
+def _index(rows) -> dict:
+    """rarest word -> [(its place in the window, the window's words, its items)]."""
+    owners: dict[tuple, list] = defaultdict(list)
+    for item, window, word, place in rows:
+        owners[bytes(word), place, bytes(window)].append(item)
     index = defaultdict(list)
-    for w, ids in owners.items():
-        at = min(range(len(w)), key=lambda i: (rarity.get(w[i], 0), w[i], i))
-        if rarity.get(w[at], 0):  # a word that no document has: the window can't occur
-            index[w[at]].append((at, list(w), sorted(ids)))
+    for (word, place, window), ids in owners.items():
+        index[word].append((place, window.split(), ids))
     return dict(index)
 
 
@@ -102,49 +151,69 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def broadcast_indexes(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark's windows by their rarest word in docs: one broadcast per block of the benchmark."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    n_blocks = max(1, -(-total // block_bytes))
+    """The benchmark's windows by their rarest word in docs: one broadcast per block of windows."""
+    rows = prefixed_windows(docs, benchmark, width, block_bytes)
+    n_blocks = _planned(rows, F.octet_length("window") + WINDOW_BYTES, block_bytes)
     blocks = []
     for b in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        got = [(r.item_id if r.item_id is not None else "null", words(r.text)) for r in part.collect()]
-        size = sum(len(w) for _, ws in got for w in ws)
-        vocabulary = frozenset(w for _, ws in got for w in ws)
-        rarity = document_frequency(docs, broadcast_bytes(spark, vocabulary, size, 4 * block_bytes, "benchmark block")) if vocabulary else {}
-        blocks.append(broadcast_bytes(spark, _index(got, rarity, width), size, 4 * block_bytes, "benchmark block"))
+        index = _index(_block(rows, ["window", "item_id"], n_blocks, b).collect())  # one block
+        blocks.append(broadcast_bytes(docs.sparkSession, index, len(pickle.dumps(index)), BLOCK_LIMIT * block_bytes, "block of windows"))
     return blocks
 
 
+def _named(items: set) -> list:
+    return sorted(i for i in items if i is not None) + [None] * (None in items)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, the merged hit spans as word positions (starts, ends), and the hit items' ids."""
+    """Per document: doc_id, n_words, the merged hit spans as word positions (starts, ends), and the hit items' ids; a null
+    one comes last."""
     blocks = broadcast_indexes(docs, benchmark, width, block_bytes)
 
-    def each(indexes, ids, texts):
+    def each(index, ids, texts):
         for i, text in zip(ids, texts):
             ws = words(text)
-            spans, items = [], set()
-            for index in indexes:
-                s, found = _match(ws, index)
-                spans += s
-                items |= found
+            spans, items = _match(ws, index)
             spans = _merge(spans)
-            yield i, len(ws), [s for s, _ in spans], [e for _, e in spans], sorted(items)
+            yield i, len(ws), [s for s, _ in spans], [e for _, e in spans], _named(items)
 
-    return map_rows(docs, ["doc_id", "text"], HITS, each, setup=lambda: [b.value for b in blocks])
+    if len(blocks) == 1:
+        return map_rows(docs, ["doc_id", "text"], HITS, each, setup=lambda: blocks[0].value)
+    key = F.xxhash64("doc_id").alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t")  # equal rows have equal hits
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *key)
+    hits = None
+    for block in blocks:
+        found = _hits_of_block(rows, block)
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("i", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))  # one per block
+    counted = map_rows(rows, ["doc_id", "text", "i", "t"], "doc_id bigint, n_words bigint, i bigint, t string", lambda _, ids, texts, i, t: zip(ids, (len(words(x)) for x in texts), i, t))
 
+    def merge(_, ids, n_words, spans, items):
+        for i, n, s, found in zip(ids, n_words, spans, items):
+            merged = _merge([(x["s"], x["e"]) for x in s or []])
+            yield i, n, [a for a, _ in merged], [b for _, b in merged], _named(set(found or []))
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, with all their columns, in which no window occurs."""
-    blocks = broadcast_indexes(docs, benchmark, width, block_bytes)
+    return map_rows(counted.join(hits, ["i", "t"], "left"), ["doc_id", "n_words", "spans", "items"], HITS, merge)
+
+
+def _hits_of_block(rows: DataFrame, block) -> DataFrame:
+    """i, t, spans, items of the rows that one block hits; once for equal rows."""
 
-    def keep(indexes, text):
-        ws = words(text)
-        return not any(_match(ws, index)[0] for index in indexes)
+    def each(index, i, t, texts):
+        for a, b, text in zip(i, t, texts):
+            spans, items = _match(words(text), index)
+            if spans:
+                yield a, b, [{"s": s, "e": e} for s, e in _merge(spans)], list(items)
 
-    return filter_rows(docs, "text", keep, setup=lambda: [b.value for b in blocks])
+    schema = "i bigint, t string, spans array<struct<s:int,e:int>>, items array<string>"
+    return map_rows(rows, ["i", "t", "text"], schema, each, setup=lambda: block.value).dropDuplicates(["i", "t"])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which no window occurs; one filter after the other for several blocks."""
+    for block in broadcast_indexes(docs, benchmark, width, block_bytes):
+        docs = filter_rows(docs, "text", lambda index, text: not _match(words(text), index)[0], setup=lambda block=block: block.value)
+    return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
