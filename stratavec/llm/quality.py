@@ -1,18 +1,20 @@
 """Quality by importance resampling: target and raw text as hashed n-gram models, sampled by Gumbel top-k.
 
 Words and word pairs are hashed to BUCKETS. The raw model counts all documents, the target model the documents of a
-bounded sample of those labelled good. A document's log importance is the mean log ratio of its n-grams' smoothed
-probabilities times min(n, EFFECTIVE) n-grams, so a long document does not win or lose by its length. Adding Gumbel
-noise, fixed by seed and doc_id, and keeping the k largest keys samples k documents without replacement in proportion
-to their importance.
+bounded sample of those labelled good. A document's log importance is the log ratio of its probability under the two
+models: the sum of its n-grams' smoothed log ratios. (An option, off by default, tempers it for long texts: the mean log
+ratio times at most `effective` n-grams.) Adding Gumbel noise, fixed by seed and doc_id, and keeping the k largest keys
+samples k documents without replacement in proportion to their importance.
 
 Plan: one scan counts (each task sends one vector of BUCKETS per model), one scan scores. The k-th largest key is found
-on the saved keys by a histogram of fixed size that is refined until the deciding bin is small; documents are not
-sorted, and no key but those of that bin reaches the driver.
-
-Rows: null and empty texts have no n-grams and log importance 0; null ids are a key like any other; repeated rows have
-equal keys and fall on the same side unless the sample's edge lies between them, where any of the equal rows is taken;
-no good label at all makes all ratios 0 (a uniform sample); an empty table gives an empty result.
+on the saved keys by a histogram of fixed size that is refined until one value is left; rows that tie there are divided by
+id in the same way, and equal rows by the number that they were saved under. Nothing is sorted, and no key reaches the
+driver but the bounds of bins.
+
+Rows: null and empty texts have no n-grams and log importance 0; very long texts are read whole; null ids are a key like
+any other; repeated rows have equal keys and fall on the same side unless the sample's edge lies between them, where
+any of the equal rows is taken; no good label at all makes all ratios 0 (a uniform sample); labels with a null id or
+label are not used; an empty table gives an empty result; extra columns are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
+from .hashing import K1, K2, mixed
 
 BUCKETS = 10_000
 #: The target model's bound: labelled rows in the sample.
 SAMPLE_ROWS = 20_000
-EFFECTIVE = 100
 SMOOTHING = 1.0
 SLICE_BYTES = 4_000_000
 
@@ -37,12 +39,6 @@ _CLASS = np.array([1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >=
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def ngram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each word and word pair, number of the text that it is in). Words are runs of letters and digits
     (A-Z folded) or of other printable characters."""
@@ -57,19 +53,13 @@ def ngram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.n
     inside = kind > 0
     at = np.flatnonzero(inside)
     place = (at - word_start[word_of[at]]).astype(np.uint64)
-    value = _mixed((_FOLD[data[at]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xD1342543DE82EF95))
+    value = mixed((_FOLD[data[at]].astype(np.uint64) + np.uint64(1)) * K1 + place * K2)
     cut = np.flatnonzero(np.concatenate([[True], word_of[at][1:] != word_of[at][:-1]]))
     h = np.add.reduceat(value, cut)
     doc = np.searchsorted(starts, word_start, side="right") - 1
     together = doc[1:] == doc[:-1]
-    pair = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[together]
-    return np.concatenate([_mixed(h) % np.uint64(buckets), pair % np.uint64(buckets)]).astype(np.int64), np.concatenate([doc, doc[1:][together]])
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    step = max(1, int(SLICE_BYTES * batch.num_rows / max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+    pair = mixed(h[:-1] * K1 + h[1:])[together]
+    return np.concatenate([mixed(h) % np.uint64(buckets), pair % np.uint64(buckets)]).astype(np.int64), np.concatenate([doc, doc[1:][together]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> np.ndarray:
@@ -79,12 +69,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
-            for part in _slices(batch):
-                at, doc = ngram_buckets(part.column(0).to_pylist(), buckets)
-                raw += np.bincount(at, minlength=buckets)
-                good = np.array(part.column(1).to_pylist(), bool)
-                target += np.bincount(at[good[doc]], minlength=buckets)
+        for part in slices(batches, SLICE_BYTES):
+            at, doc = ngram_buckets(part.column(0).to_pylist(), buckets)
+            raw += np.bincount(at, minlength=buckets)
+            good = np.array(part.column(1).to_pylist(), bool)
+            target += np.bincount(at[good[doc]], minlength=buckets)
         some = np.flatnonzero(raw)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
@@ -99,60 +88,77 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0, effective: int = EFFECTIVE) -> DataFrame:
+def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0, effective: int | None = None) -> DataFrame:
     """doc_id, n_ngrams, log_importance, key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch):
-                ids = part.column(0).to_pylist()
-                at, doc = ngram_buckets(part.column(1).to_pylist(), len(ratio))
-                n = np.bincount(doc, minlength=len(ids))
-                total = np.bincount(doc, ratio[at], len(ids))
-                log_w = total / np.maximum(n, 1) * np.minimum(n, effective)
-                row = np.array([(0x5851F42D4C957F2D if i is None else i) & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64)
-                u = (_mixed(_mixed(row + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed)) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(log_w), pa.array(log_w - np.log(-np.log(u)))], names=["doc_id", "n_ngrams", "log_importance", "key"])
+        for part in slices(batches, SLICE_BYTES):
+            ids = part.column(0).to_pylist()
+            at, doc = ngram_buckets(part.column(1).to_pylist(), len(ratio))
+            n = np.bincount(doc, minlength=len(ids))
+            log_w = np.bincount(doc, ratio[at], len(ids))
+            if effective is not None:
+                log_w *= np.minimum(n, effective) / np.maximum(n, 1)
+            row = np.array([(0x5851F42D4C957F2D if i is None else i) & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64)
+            u = (mixed(mixed(row + K1) + np.uint64(seed)) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(log_w), pa.array(log_w - np.log(-np.log(u)))], names=["doc_id", "n_ngrams", "log_importance", "key"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_ngrams bigint, log_importance double, key double")
 
 
-def top_k(keys: DataFrame, k: int, bins: int = 4096, small: int = 20_000) -> DataFrame:
-    """The k rows of largest key, ties to the smaller doc_id (null first)."""
-    low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    if k >= n:
-        return keys
-    if k <= 0:
-        return keys.limit(0)
-    above = 0  # rows over `high`
-    edge = (low, high)
-    while True:
-        a, b = edge
-        inside = keys.where(F.col("key").between(a, b))
-        if a == b or inside.count() <= small:
-            break
-        step = (b - a) / bins
-        at = F.least(F.lit(bins - 1), F.floor((F.col("key") - a) / step)).cast("int")
-        found = {r.b: r for r in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).collect()}
+def _kth(rows: DataFrame, column: str, k: int, bins: int) -> tuple:
+    """(t, n): the k-th largest value of a column without nulls, and how many are larger; 1 <= k <= rows."""
+    a, b = rows.agg(F.min(column), F.max(column)).first()
+    above = 0
+    while a < b:
+        # Bins by rounded quotients: whatever the rounding, a larger value is never in a smaller bin.
+        at = F.least(F.lit(bins - 1), F.floor((F.col(column).cast("double") - float(a)) / max((float(b) - float(a)) / bins, 5e-324))).cast("int")
+        inside = rows.where(F.col(column).between(F.lit(a), F.lit(b)))
+        found = {r.b: r for r in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("z")).collect()}
+        if len(found) == 1:  # values that are too close for doubles: halve between them
+            middle = a + (b - a) // 2 if isinstance(a, int) else a
+            n = inside.where(F.col(column) > F.lit(middle)).count()
+            a, b, above = (middle + 1, b, above) if above + n >= k else (a, middle, above + n)
+            continue
         for bin_ in sorted(found, reverse=True):
             if above + found[bin_].n >= k:
-                edge = (found[bin_].a, found[bin_].z)
+                a, b = found[bin_].a, found[bin_].z
                 break
             above += found[bin_].n
-    a, b = edge
-    over = keys.where(F.col("key") > b)
-    rest = keys.where(F.col("key").between(a, b)).orderBy(F.desc("key"), F.asc_nulls_first("doc_id")).limit(k - above)
-    return over.unionByName(rest)
+    return a, above
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 0) -> DataFrame:
+def top_k(keys: DataFrame, k: int, bins: int = 4096) -> DataFrame:
+    """The k rows of largest key, ties to the smaller doc_id (null first), then to the smaller row (saved row number)."""
+    n = keys.count()
+    if k >= n:
+        return keys
+    if k <= 0:
+        return keys.limit(0)
+    key, above = _kth(keys, "key", k, bins)
+    rest, tied = k - above, keys.where(F.col("key") == F.lit(key))
+    sure, nulls = F.col("key") > F.lit(key), tied.where("doc_id IS NULL").count()
+    edge = F.col("key") == F.lit(key)
+    if rest <= nulls:
+        edge &= F.col("doc_id").isNull()
+    else:
+        ids = tied.where("doc_id IS NOT NULL").withColumn("back", F.bitwise_not("doc_id"))  # the smaller the id, the larger
+        last, before = _kth(ids, "back", rest - nulls, bins)
+        sure |= edge & (F.col("doc_id").isNull() | (F.col("doc_id") < F.lit(~last)))
+        edge &= F.col("doc_id") == F.lit(~last)
+        rest -= nulls + before
+    row, _ = _kth(keys.where(edge).withColumn("row", -F.col("row")), "row", rest, bins)
+    return keys.where(F.coalesce(sure | (edge & (F.col("row") <= F.lit(-row))), F.lit(False)))
+
+
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 0, effective: int | None = None) -> DataFrame:
     """The sampled documents: doc_id, n_ngrams, log_importance, key. The sample's size is fraction of the rows; by
     default the share of good ones among the labels."""
     if fraction is None:
         got = labels.agg(F.avg((F.col("quality") > 0).cast("double"))).first()[0]
         fraction = 1.0 if got is None else got
-    keys = saved(score(docs, fit(docs, labels), seed), "importance")
-    return top_k(keys, round(fraction * keys.count()))
+    keys = saved(score(docs, fit(docs, labels), seed, effective).withColumn("row", F.monotonically_increasing_id()), "importance")
+    return top_k(keys, round(fraction * keys.count())).drop("row")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
