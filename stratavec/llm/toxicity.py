@@ -9,12 +9,14 @@ sum of their features below (equal thirds for K = 3); labels with more values ar
 Features: log(1 + count) of the indicative words, those whose document frequency differs between toxic and clean
 sample rows by a z-score of MIN_Z or more (at most MAX_FEATURES). So a long document does not gather noise.
 
-Plan: the fit uses the SAMPLE_ROWS labelled rows of smallest id hash, which bounds what is broadcast and what reaches
-the driver; scoring is one map over all whole texts with the weights as a closure of bounded size.
-
-Rows: a null or empty text has no features and gets the score of an empty text; null ids stay; repeated rows each
-get their own result; labels with a null id or label are not used; with no toxic or no clean label at all every
-document scores 0; an empty table gives an empty result; extra columns are not read.
+Plan: the fit uses the SAMPLE_ROWS labelled ids of smallest hash, with one text for each, which bounds what is broadcast
+and what reaches the driver; scoring is one map over all whole texts with the weights as a closure of bounded size.
+
+Rows: a null or empty text has no features and gets the score of an empty text; very long texts are read whole; null ids
+stay; repeated rows each get their own result; in the fit, an id with several texts counts with the least one, an id
+with several labels with the largest; labels that are null, below 0 or of a null id are not used; with no toxic or no
+clean label at all every document scores 0; an empty table gives an empty result; extra columns are not read, so
+clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows, table
+from .common import discard, filter_rows, map_rows, saved, table
 from .decontaminate import words
 
 #: The fit's bound: labelled rows in the sample.
@@ -40,9 +42,11 @@ THRESHOLD = 0.3
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and y of the documents with the labels of smallest id hash; at most `rows` labels."""
-    chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    """text and y of the documents with the labels of smallest id hash; at most `rows` rows, one for each id."""
+    found = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().where("y >= 0").groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def fit_ordinal(rows: list[dict[int, float]], y: np.ndarray, n_features: int, gr
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, grades: int = GRADES) -> dict | None:
     """The model: {'known', 'w', 'cuts'}; None if the sample has one class only."""
-    sample = labelled_sample(docs, labels, label, rows)
+    sample = saved(labelled_sample(docs, labels, label, rows), "labelled")
     counts = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), sum(n for y, n in counts.items() if y > 0)
     if not n0 or not n1:
@@ -120,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
             yield list(x), list(x.values()), y
 
     got = map_rows(sample, ["text", "y"], "j array<int>, v array<double>, y int", each).collect()  # at most `rows`
+    discard(sample)
     got.sort(key=lambda r: (r.y, r.j, r.v))
     x = [dict(zip(r.j, r.v)) for r in got]
     y = np.array([r.y for r in got])
