@@ -3,7 +3,9 @@
 The patterns (kinds assign, access, hex) find what has a known form. Every other token of 20 characters or more is
 tried for the encoding it may be in (hex, base32, base64, base64url, alphanumeric) and tested:
 
-* chi-squared: symbol counts against the uniform distribution over the encoding's alphabet,
+* chi-squared: symbol counts against the uniform distribution over the encoding's alphabet; as a token has few symbols for
+  its alphabet, the tail is the exact one of the statistic up to EXACT symbols of the alphabet, and beyond that of
+  the gamma distribution with the statistic's own mean, variance and skewness,
 * runs: Wald-Wolfowitz runs above and below the alphabet's middle,
 * serial correlation of neighbouring symbols.
 
@@ -16,13 +18,15 @@ digits: letters by the frequencies of a written language, whichever of LANGUAGES
 counts that text seldom stays within the alphabet. Such a ratio is under r with a probability of at most r; p is that
 bound, sharpened by the ratio's normal spread under uniform symbols. Over all documents these are held
 against a length-weighted Benjamini-Hochberg threshold: longer tokens carry more weight, weights average one. The
-threshold comes from a histogram of fixed size (p-values rounded up, so the control is conservative), never from
-collected candidates.
+threshold comes from a histogram of p-values (rounded up, so the control is conservative), never from collected candidates.
+Lengths count as they are; p-values below the last bin count as found at any number of candidates.
 
 Plan: one scan for the histogram, one for the spans; both are map-only but for the histogram's partial counts.
 
-Rows: a null text counts as empty; null ids stay; repeated rows each get their own result; an empty table gives an
-empty result. Offsets are code points, ends are exclusive.
+Rows: a null text counts as empty; very long texts are scanned whole, in time that grows with their length; null ids stay;
+repeated rows each get their own result (and count in the threshold as often as they occur); an empty table gives an
+empty result; extra columns are not read (redacted() hands them on), so clashing names do not matter. Offsets are code
+points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -31,16 +35,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import discard, map_rows, saved, slices, table
 
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.01
 ALPHA = 0.001
+#: Length of a token, in alphabets, up to which the uniformity test's tail is exact.
+EXACT = 2
 MIN_TOKEN = 20
 #: Index of coincidence of written European languages.
 COINCIDENCE = 0.0655
@@ -106,10 +114,46 @@ def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def _chi2_tail(x: float, df: float) -> float:
-    """Upper tail, by the Wilson-Hilferty approximation."""
-    v = 2 / (9 * df)
-    return _normal_tail(((max(x, 0.0) / df) ** (1 / 3) - (1 - v)) / math.sqrt(v))
+@lru_cache(maxsize=4096)
+def _pair_tails(n: int, k: int) -> np.ndarray:
+    """P(pairs >= s) for s = 0, 1, ..: the number of pairs of equal symbols among n uniform ones over an alphabet of k.
+
+    Exactly: n!/k^n times the coefficient of x^n y^s in (sum over c of x^c y^(c(c-1)/2) / c!)^k, by squaring; numbers of
+    pairs far beyond the mean share the last place."""
+    mean = n * (n - 1) / 2 / k
+    most = min(n * (n - 1) // 2, int(mean + 14 * math.sqrt(mean) + 40))
+    shape = (2 * n + 2, 2 * most + 2)
+
+    def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        product = np.fft.irfft2(np.fft.rfft2(a, shape) * np.fft.rfft2(b, shape), shape)
+        return np.maximum(product[: n + 1, : most + 1], 0.0)
+
+    # x stands for x * n / k: coefficients near the n-th stay near one.
+    one = np.zeros((n + 1, most + 1))
+    for c in range(n + 1):
+        if c * (c - 1) // 2 <= most:
+            one[c, c * (c - 1) // 2] = math.exp(c * math.log(n / k) - math.lgamma(c + 1) - n / k)
+    power, result = one, None
+    for bit in bin(k)[:1:-1]:
+        if bit == "1":
+            result = power if result is None else times(result, power)
+        power = times(power, power)
+    share = result[n] / math.exp(n * math.log(n) - math.lgamma(n + 1) - n)  # of each number of pairs up to most
+    return np.clip(1 - np.concatenate([[0.0], np.cumsum(share)]), 0.0, 1.0)
+
+
+def _pairs_tail(pairs: int, n: int, k: int) -> float:
+    """P(as many pairs of equal symbols or more among n uniform ones). The chi-squared statistic over equal expected counts
+    is 2 k pairs / n + k - n, so this is its upper tail."""
+    if n <= EXACT * k:
+        tails = _pair_tails(n, k)
+        return float(tails[min(pairs, len(tails) - 1)])
+    p, two, three = 1 / k, n * (n - 1) / 2, n * (n - 1) * (n - 2) / 6
+    mean, var = two * p, two * p * (1 - p)
+    skew = (two * p * (1 - p) * (1 - 2 * p) + 6 * three * p * p * (1 - p)) / var**1.5
+    shape = 4 / skew**2  # of a gamma distribution moved to the mean
+    x = shape + 2 / skew * (pairs - 0.5 - mean) / math.sqrt(var)
+    return 1.0 if x <= 0 else _normal_tail(((x / shape) ** (1 / 3) - (1 - 1 / (9 * shape))) * 3 * math.sqrt(shape))
 
 
 def _ratio_tail(x: list[float], mean: float, variance: float) -> float:
@@ -141,8 +185,9 @@ def battery(token: str) -> tuple[float, float] | None:
     name, places = found
     k, n = len(places), len(body)
     x = [places[c] for c in body]
-    chi = sum(v * v for v in Counter(x).values()) * k / n - n
-    p_chi = _chi2_tail(chi, k - 1)
+    squares = sum(v * v for v in Counter(x).values())
+    chi = squares * k / n - n
+    p_chi = _pairs_tail((squares - n) // 2, n, k)
     high = [v >= k / 2 for v in x]
     n1 = sum(high)
     n0 = n - n1
@@ -169,10 +214,12 @@ def battery(token: str) -> tuple[float, float] | None:
 
 def random_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, p of being written text) of the tokens outside base that no test rejects as random."""
-    out, at = [], 0
+    out, at, reach, n = [], 0, 0, len(base)  # reach: the farthest end of base spans that begin before the token's end
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        if any(b[0] < e and b[2] > s for b in base):
+        while at < n and base[at][0] < e:
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach > s:
             continue
         p = battery(m.group())
         if p and p[0] >= ALPHA:
@@ -193,21 +240,19 @@ def fit_threshold(docs: DataFrame, fdr: float = FDR, text: str = "text") -> dict
             for value in batch.column(0):
                 if (t := value.as_py()):
                     for s, e, p in random_tokens(t, base_spans(t)):
-                        found[min(e - s, 4096), _bin(p, 1.0)] += 1
+                        found[e - s, _bin(p, 1.0)] += 1
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["length", "bin", "n"])
 
     # Weights need the mean length, which is known only after the scan: so counts are kept by length and bin.
-    counts = docs.select(text).mapInArrow(count, "length int, bin int, n bigint").groupBy("length", "bin").agg(F.sum("n").alias("n")).persist()
-    try:
-        total = counts.agg(F.sum("n").alias("n"), F.sum(F.col("length") * F.col("n")).alias("chars")).first()
-        if not total.n:
-            return {"mean": 1.0, "bin": BINS}
-        mean = total.chars / total.n
-        moved = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col("bin") + 100 * F.log10(F.col("length") / F.lit(mean)))))
-        bins = {r.b: r.n for r in counts.groupBy(moved.cast("int").alias("b")).agg(F.sum("n").alias("n")).collect()}  # at most BINS
-    finally:
-        counts.unpersist()
+    counts = saved(docs.select(text).mapInArrow(count, "length int, bin int, n bigint").groupBy("length", "bin").agg(F.sum("n").alias("n")), "p_values")
+    total = counts.agg(F.sum("n").alias("n"), F.sum(F.col("length") * F.col("n")).alias("chars")).first()
+    if not total.n:
+        return {"mean": 1.0, "bin": BINS}
+    mean = total.chars / total.n
+    moved = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col("bin") + 100 * F.log10(F.col("length") / F.lit(mean)))))
+    bins = {r.b: r.n for r in counts.groupBy(moved.cast("int").alias("b")).agg(F.sum("n").alias("n")).collect()}  # at most BINS
+    discard(counts)
     rejected, cut = 0, BINS
     for b in sorted(bins, reverse=True):
         rejected += bins[b]
@@ -223,7 +268,7 @@ def spans_of(text: str | None, threshold: dict) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     found = []
     for s, e, p in random_tokens(text, base):
-        moved = math.floor(_bin(p, 1.0) + 100 * math.log10(min(e - s, 4096) / threshold["mean"]))
+        moved = math.floor(_bin(p, 1.0) + 100 * math.log10((e - s) / threshold["mean"]))
         if min(BINS - 1, max(0, moved)) >= threshold["bin"]:
             found.append((s, 3, e))
     return sorted(base + found) if found else base
@@ -259,15 +304,12 @@ def redacted(docs: DataFrame, fdr: float = FDR, mark: str = "[SECRET]") -> DataF
     columns, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, int(8_000_000 * batch.num_rows / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                texts = [redact(t, threshold, mark) for t in part.column(columns.index("text")).to_pylist()]
-                new = dict(zip(columns, part.columns)) | {"text": pa.array(texts, pa.string())}
-                if "n_chars" in new:
-                    new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.column(columns.index("n_chars")).type)
-                yield pa.RecordBatch.from_arrays([new[c] for c in columns], names=columns)
+        for part in slices(batches, 8_000_000):
+            texts = [redact(t, threshold, mark) for t in part.column(columns.index("text")).to_pylist()]
+            new = dict(zip(columns, part.columns)) | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in new:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.column(columns.index("n_chars")).type)
+            yield pa.RecordBatch.from_arrays([new[c] for c in columns], names=columns)
 
     return docs.mapInArrow(run, schema)
 
