@@ -4,8 +4,9 @@ A text's lattice has an edge for every vocabulary piece that matches at a place.
 log p = -sharpness * log(rank + 1), as the vocabulary file orders pieces by merge rank. The forward pass sums, for each place,
 the weight of all segmentations that reach it; the backward pass draws the last piece with its exact posterior
 probability, then the one before, and so on, so that each segmentation comes with its probability under the model.
-Draws come from a counter-based generator over (seed, row key, place in the text): results depend on nothing else, so
-a task that runs again, or another partitioning, gives the same pieces.
+Draws come from a counter-based generator over (seed, row key, place in the text), and a place's posteriors are summed from
+its own edges only and rounded to 2**-40, in integers: results depend on nothing else, so a task that runs again, another
+partitioning, or other texts before give the same pieces bit for bit.
 
 Encoding is lossless: nothing is normalised, no prefix is added; a space is the piece mark, and characters without a
 piece (a literal mark included) become byte pieces. decode() gives back the exact text.
@@ -14,8 +15,9 @@ No piece joins a non-space to a following space or a line break (checked when th
 apart into words without loss, and the forward pass runs once per distinct word of a slice of rows, in lockstep over
 words; the backward pass runs in lockstep over all occurrences. Everything is map-only.
 
-Rows: a null text gives null ids, an empty one none; repeated rows with equal keys give equal pieces; null keys are a
-key like any other; an empty table gives an empty result; extra columns are not read.
+Rows: a null text gives null ids, an empty one none; very long texts are segmented whole; repeated rows with equal keys give
+equal pieces; null keys are a key like any other; an empty table gives an empty result; extra columns are not read, so
+clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, table
+from .common import broadcast_bytes, slices, table
+from .hashing import K1, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -42,7 +45,9 @@ SLICE_BYTES = 1_500_000
 #: Lattices of words are kept between slices up to about so many edges.
 KEPT_EDGES = 2_500_000
 LATTICE_WORDS = 10_000
-_KEPT = {"first": np.int64, "rank": np.int32, "start": np.int32, "search": np.float64, "tokens": np.int32, "cut": np.int32, "last": np.int32}
+#: Bits that probabilities are rounded to where a piece is drawn.
+PRECISION = 40
+_KEPT = {"first": np.int64, "rank": np.int32, "start": np.int32, "search": np.int64, "tokens": np.int32, "cut": np.int32, "last": np.int32}
 
 
 def read_vocabulary(model: str = MODEL) -> list[tuple[int, str, bool]]:
@@ -101,7 +106,7 @@ class Sampler:
         for at in range(0, len(words), LATTICE_WORDS):
             g, extra, used = self.lattice(words[at : at + LATTICE_WORDS]), len(self.extra), self.used
             moved = {
-                "first": g["first"][1:] + self.kept["first"][used["first"] - 1], "rank": np.where(g["rank"] >= 0, g["rank"] + used["cut"], -1)[:-1], "start": g["start"] + used["rank"], "search": g["search"] + used["cut"],
+                "first": g["first"][1:] + self.kept["first"][used["first"] - 1], "rank": np.where(g["rank"] >= 0, g["rank"] + used["cut"], -1)[:-1], "start": g["start"] + used["rank"], "search": g["search"] + (used["cut"] << PRECISION),
                 "tokens": np.where(g["tokens"] < 0, g["tokens"] - extra, g["tokens"]), "cut": g["cut"] + used["start"], "last": g["last"] + used["start"],
             }
             for x, v in moved.items():
@@ -146,16 +151,18 @@ class Sampler:
             total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, per)), cut))
             alpha[nodes[cut]] = total
             value[e] = np.exp(v - np.repeat(total, per))
-        # Per end node, edges are together: a running sum that grows by one from node to node serves all searches.
+        # Per end node, edges are together: the node's number above a running sum of its own serves all searches.
         cut = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, np.int64)
         per = np.diff(np.append(cut, len(end)))
-        run = np.cumsum(value)
-        run = run - np.repeat(run[cut] - value[cut], per)
+        run = value.copy()
+        for k in range(1, per.max(initial=0)):  # from edge to edge, in all nodes at once
+            at = cut[per > k] + k
+            run[at] += run[at - 1]
         rank = np.repeat(np.arange(len(cut)), per)
         node_rank = np.full(first[-1] + 1, -1, np.int64)
         node_rank[end[cut]] = np.arange(len(cut))
         last = cut + per - 1
-        return {"first": first, "start": start, "search": rank + np.minimum(run, 1.0), "rank": node_rank, "cut": cut, "last": last, "tokens": tokens_at, "extra": extra, "alpha": alpha}
+        return {"first": first, "start": start, "search": (rank << PRECISION) + np.minimum(run * 2.0**PRECISION, 2.0**PRECISION - 1).astype(np.int64), "rank": node_rank, "cut": cut, "last": last, "tokens": tokens_at, "extra": extra, "alpha": alpha}
 
     def encode(self, keys: list, texts: list[str]) -> list[np.ndarray]:
         """Sampled ids for each text."""
@@ -191,7 +198,7 @@ class Sampler:
             place = offset[live] + (at - base[live]).astype(np.uint64)
             u = _uniform(salt[doc[live]], place)
             r = g["rank"][at]
-            e = np.minimum(np.maximum(np.searchsorted(g["search"], r + u, side="right"), g["cut"][r]), g["last"][r])
+            e = np.minimum(np.maximum(np.searchsorted(g["search"], (r.astype(np.int64) << PRECISION) + u, side="right"), g["cut"][r]), g["last"][r])
             edges_of.append(e)
             word_of.append(live)
             steps[live] += 1
@@ -230,11 +237,8 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
 
 
 def _uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """[0, 1), by a SplitMix64 finaliser over key and place."""
-    x = key + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    """Whole numbers below 2**PRECISION, by a finaliser over key and place."""
+    return (mixed(key + (place + np.uint64(1)) * K1) >> np.uint64(64 - PRECISION)).astype(np.int64)
 
 
 def sample_pieces(docs: DataFrame, model: str = MODEL, sharpness: float = SHARPNESS, seed: int = 0, key: str = "doc_id") -> DataFrame:
@@ -244,18 +248,14 @@ def sample_pieces(docs: DataFrame, model: str = MODEL, sharpness: float = SHARPN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(shared.value, sharpness, seed)
-        for batch in batches:
-            n = batch.num_rows
-            step = max(1, int(SLICE_BYTES * n / max(1, batch.nbytes)))
-            for at in range(0, n, step):
-                part = batch.slice(at, step)
-                texts = part.column(1).to_pylist()
-                ids = sampler.encode(part.column(0).to_pylist(), [t or "" for t in texts])
-                good = [t is None or sampler.decode(x.tolist()) == t for t, x in zip(texts, ids)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                nulls = pa.array([t is None for t in texts])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=nulls)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(good)], names=["doc_id", "ids", "lossless"])
+        for part in slices(batches, SLICE_BYTES):
+            texts = part.column(1).to_pylist()
+            ids = sampler.encode(part.column(0).to_pylist(), [t or "" for t in texts])
+            good = [t is None or sampler.decode(x.tolist()) == t for t, x in zip(texts, ids)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            nulls = pa.array([t is None for t in texts])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=nulls)
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(good)], names=["doc_id", "ids", "lossless"])
 
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("doc_id"), F.col("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, lossless boolean")
