@@ -3,20 +3,30 @@
 Index: centroids come from a balanced split of a bounded sample (halving at the median of the main direction, then a
 few rounds of means). Every row is indexed, in the list of its nearest centroid and, if it lies near a border, in up to
 REPLICAS lists: those within BORDER times the nearest distance, unless an accepted centroid is nearer to the new one than
-the vector is. Search: a best-first walk of an in-memory neighbour graph over the centroids gives each query's nearest
-ones; those beyond RATIO times the nearest distance are pruned, but never before the lists hold MIN_ROWS ids.
+the vector is. Search: a walk of an in-memory neighbour graph over the centroids takes up, for each query, those within
+RATIO times the nearest distance found so far (and the LEAST nearest ones); neighbours of centroids farther than that are
+never looked at, and their lists are pruned.
+
+Lists are meant to hold LIST_ROWS rows. Where that takes over MAX_LISTS lists, the index has two levels: the lists become
+cells, each with centroids and a graph of its own, fitted on a bounded sample of the cell by the tasks that hold it.
+Rows and queries go down both levels by the same rules. So lists stay small up to MAX_LISTS**2 * LIST_ROWS rows
+(2 * 10**9), and what is broadcast has a fixed bound.
+
+Whatever was pruned, a query has its k neighbours: those that end with fewer than k different ids, though there are more,
+are compared with all rows, in blocks.
 
 Skew: list lengths and the numbers of queries per list are counted. A list over BLOCK rows is dealt out in blocks, and
 so are its queries, so a task compares at most BLOCK rows with BLOCK queries, however many equal vectors there are.
-What reaches the driver is the sample, and one count per list. The graph's size is bounded by MAX_LISTS.
+What reaches the driver is the sample.
 
-Scores are cosines in double precision of the original vectors, summed in one fixed order, so equal vectors tie.
+Scores are cosines in double precision of the original vectors, summed in one fixed order, so equal vectors tie; vectors
+are scaled by powers of two beforehand, so that no square overflows or vanishes.
 
-Rows: vectors that are null, empty, zero, of another length than most of the sample's, or that hold a null or
-non-finite component take no part, nor do null ids; repeated ids are separate candidates but a query takes no
-candidate of its own id, and repeated rows of one id count once (the best score): equal ones are dropped before
-indexing, others take one place among the k nearest of a block. Fewer candidates than k: all of them. An empty
-table gives an empty result; extra columns are not read.
+Rows: vectors that are null, empty, zero, or that hold a null or non-finite component take no part, nor do null ids.
+Vectors of different lengths have no cosine and are not compared; those of another length than most are compared with all
+of their own length, in blocks. A query takes no candidate of its own id; repeated rows of one id count once (the best
+score), and rows of one id that differ take one place among the k. Ties go to the smaller id. Fewer candidates than
+k: all of them. An empty table gives an empty result; extra columns are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -32,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_bytes, saved, table
 
-#: The index's bound: vectors in the sample that centroids are fitted on.
+#: The index's bounds: vectors in the sample that centroids are fitted on, for the table and for a cell.
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 64_000_000
 MAX_LISTS = 4096
@@ -40,7 +50,7 @@ LIST_ROWS = 128
 REPLICAS = 4
 BORDER = 1.05
 RATIO = 1.27
-MIN_ROWS = 400
+LEAST = 16
 DEGREE = 16
 BLOCK = 4096
 MODEL_BYTES = 64_000_000
@@ -51,7 +61,13 @@ def usable(vectors: Column) -> Column:
     return F.coalesce(good & F.exists(vectors, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-300)
 
 
@@ -88,99 +104,135 @@ def centroid_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     return np.concatenate([near, ring], 1).astype(np.int32)
 
 
-def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of up to `width` near centroids of each unit query, nearest first: best-first over the graph, in lockstep."""
-    n, width = len(c), min(width, len(c))
-    rows = np.arange(len(q))[:, None]
+def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, ratio: float, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each unit query, (ids, distances) of the centroids within `ratio` of the nearest, and of the `least` nearest ones,
+    nearest first. All queries go in lockstep: each takes up its nearest centroids that are within these bounds and not
+    taken up yet, and looks at their neighbours."""
+    n, least = len(c), min(least, len(c))
     entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
-    seen = np.zeros((len(q), n), bool)
-    seen[:, entry] = True
-    ids = np.repeat(entry[None], len(q), 0)
-    dist = 2 - 2 * (q @ c[entry].T)
-    done = np.zeros(ids.shape, bool)
+    square = np.full((len(q), n), np.inf)  # squared distances of the centroids that were looked at
+    square[:, entry] = np.maximum(2 - 2 * (q @ c[entry].T), 0)
+    taken, width = np.zeros(square.shape, bool), 4
     while True:
-        open_ = np.where(done, np.inf, dist)
-        at = np.argmin(open_, 1)
-        more = np.isfinite(open_[rows[:, 0], at])
-        if not more.any():
+        limit = np.maximum(ratio**2 * square.min(1), np.partition(square, least - 1, 1)[:, least - 1]) + 1e-9
+        open_ = np.where(taken | (square > limit[:, None]), np.inf, square)
+        some = min(width, n)
+        at = np.argpartition(open_, some - 1, 1)[:, :some]
+        row, k = np.nonzero(np.isfinite(np.take_along_axis(open_, at, 1)))
+        if not len(row):
             break
-        done[rows[:, 0], at] = True
-        new = graph[ids[rows[:, 0], at]].astype(np.int64)
-        fresh = ~seen[rows, new] & more[:, None]
-        seen[rows, new] |= more[:, None]
-        first = np.ones(new.shape, bool)  # the ring may repeat a near neighbour
-        order = np.argsort(new, 1, kind="stable")
-        first[rows, order[:, 1:]] = np.take_along_axis(new, order[:, 1:], 1) != np.take_along_axis(new, order[:, :-1], 1)
-        d = np.where(fresh & first, 2 - 2 * np.einsum("ij,ikj->ik", q, c[new]), np.inf)
-        ids, dist, done = np.concatenate([ids, new], 1), np.concatenate([dist, d], 1), np.concatenate([done, ~np.isfinite(d)], 1)
-        if ids.shape[1] > width:
-            keep = np.argpartition(dist, width - 1, 1)[:, :width]
-            ids, dist, done = ids[rows, keep], dist[rows, keep], done[rows, keep]
-    order = np.argsort(dist, 1, kind="stable")
-    return np.take_along_axis(ids, order, 1), np.sqrt(np.maximum(np.take_along_axis(dist, order, 1), 0))
-
-
-def home_lists(ids: np.ndarray, dist: np.ndarray, c: np.ndarray) -> list[list[int]]:
-    """Of each row's near centroids, those whose list it goes to."""
+        at = at[row, k]
+        taken[row, at] = True
+        new = np.zeros(square.shape, bool)
+        new[row[:, None], graph[at]] = True
+        row, at = np.nonzero(new & np.isinf(square))
+        for i in range(0, len(row), 100_000):
+            r, j = row[i : i + 100_000], at[i : i + 100_000]
+            square[r, j] = np.maximum(2 - 2 * np.einsum("ij,ij->i", q[r], c[j]), 0)
+        width = min(2 * width, 64)
     out = []
-    for near, far in zip(ids, dist):
-        chosen = [int(near[0])]
-        for j, d in zip(near[1:], far[1:]):
-            if len(chosen) == REPLICAS or not d <= BORDER * far[0]:
-                break
-            if all(2 - 2 * float(c[j] @ c[k]) > d * d for k in chosen):
-                chosen.append(int(j))
-        out.append(chosen)
+    for row, bound in zip(square, limit):
+        ids = np.flatnonzero(row <= bound)
+        ids = ids[np.argsort(row[ids], kind="stable")]
+        out.append((ids, np.sqrt(row[ids])))
     return out
 
 
+def home_lists(near: np.ndarray, far: np.ndarray, c: np.ndarray) -> list[int]:
+    """Of a row's near centroids, nearest first, those whose list it goes to."""
+    chosen = [int(near[0])]
+    for j, d in zip(near[1:], far[1:]):
+        if len(chosen) == REPLICAS or not d <= BORDER * far[0]:
+            break
+        if all(2 - 2 * float(c[j] @ c[k]) > d * d for k in chosen):
+            chosen.append(int(j))
+    return chosen
+
+
+def lists_of(x: np.ndarray, c: np.ndarray, graph: np.ndarray, probe: bool) -> list[list[int]]:
+    """The lists that vectors are kept in, or with probe those that are searched for them."""
+    x = _unit(x)
+    if probe:
+        return [ids.tolist() for ids, _ in walk(x, c, graph, RATIO, LEAST)]
+    return [home_lists(*near, c) for near in walk(x, c, graph, BORDER, 4 * REPLICAS)]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
 def fit_index(vectors: DataFrame) -> dict | None:
-    """{'c': centroids, 'graph', 'dim'} from a sample of the usable rows, bounded in rows and bytes."""
-    n, longest = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    rows = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * longest)))
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").toPandas().embedding
-    if not len(got):
+    """{'c': centroids, 'graph', 'dim', 'rows': usable rows} from a sample of the usable rows, bounded in rows and bytes.
+    dim is the commonest length of vectors, of several such the least."""
+    lengths = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if lengths is None:
         return None
-    dims = pd.Series([len(v) for v in got])
-    dim = int(dims.mode().min())
-    x = _unit(np.stack([np.asarray(v, np.float64) for v in got if len(v) == dim]))
+    dim, n = lengths
+    rows = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
+    got = vectors.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").toPandas().embedding
+    x = _unit(np.stack(got).astype(np.float64))
     c = balanced_centroids(x, max(1, min(MAX_LISTS, n // LIST_ROWS, len(x))))
-    return {"c": c, "graph": centroid_graph(c), "dim": dim}
+    return {"c": c, "graph": centroid_graph(c), "dim": dim, "rows": n}
+
 
+_LISTED = "vec_id bigint, list bigint, embedding array<double>"
 
-def _assign(vectors: DataFrame, model, probe: dict | None = None) -> DataFrame:
-    """vec_id, list_id, embedding: the lists that each row is kept in, or with probe (ids per list) those it searches."""
+
+def _assign(vectors: DataFrame, model, probe: bool) -> DataFrame:
+    """vec_id, list, embedding: the lists that each row is kept in, or with probe those it searches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        c, graph = m["c"].astype(np.float64), m["graph"]
-        sizes = np.array([probe.get(i, 0) for i in range(len(c))]) if probe is not None else None
+        c, graph = model.value["c"].astype(np.float64), model.value["graph"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                q = _unit(_matrix(part.column(1)))
-                ids, dist = walk(q, c, graph, len(c) if sizes is not None else 4 * REPLICAS)
-                if sizes is None:
-                    lists = home_lists(ids, dist, c)
-                else:
-                    before = np.cumsum(sizes[ids], 1) - sizes[ids]
-                    keep = ((dist <= RATIO * dist[:, :1] + 1e-9) | (before < MIN_ROWS)) & (sizes[ids] > 0)
-                    lists = [row[k].tolist() for row, k in zip(ids, keep)]
-                rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                if len(rows):
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array([j for x in lists for j in x], pa.int32()), part.column(1).take(take)], names=["vec_id", "list_id", "embedding"])
-
-    return vectors.mapInArrow(run, "vec_id bigint, list_id int, embedding array<double>")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = lists_of(_matrix(part.column(1)), c, graph, probe)
+                take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array([j for x in lists for j in x], pa.int64()), part.column(1).take(take)], names=["vec_id", "list", "embedding"])
+
+    return vectors.mapInArrow(run, _LISTED)
+
+
+def fit_cells(postings: DataFrame) -> DataFrame:
+    """list, n, c (centroids, one after the other): the second level, fitted on a bounded sample of each cell."""
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n"))
+    rows = postings.join(sizes, "list")
+    rows = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), "n") < F.lit(SAMPLE_ROWS // 4))  # about so many of a cell
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("list").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(F.col("at") <= SAMPLE_ROWS)
+
+    def fit(cell: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(np.stack(cell.embedding))
+        n = int(cell.n.iloc[0])
+        c = balanced_centroids(x, max(1, min(MAX_LISTS, n // LIST_ROWS, len(x))))
+        return pd.DataFrame({"list": [int(cell["list"].iloc[0])], "n": [n], "c": [c.astype(np.float64).ravel()]})
+
+    return rows.select("list", "n", "embedding").groupBy("list").applyInPandas(fit, "list bigint, n bigint, c array<double>")
+
+
+def _assign_in_cells(rows: DataFrame, cells: DataFrame, probe: bool) -> DataFrame:
+    """vec_id, list, embedding of rows that are in cells, by the cells' own centroids; a task holds at most BLOCK rows."""
+    blocks = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = rows.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
+    right = cells.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "c")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "list": np.zeros(0, np.int64), "embedding": []})
+        x = np.stack(left.embedding)
+        c = right.c.iloc[0].reshape(-1, x.shape[1])
+        graph, base = centroid_graph(c), int(left["list"].iloc[0]) * MAX_LISTS
+        lists = [part for at in range(0, len(x), 512) for part in lists_of(x[at : at + 512], c, graph, probe)]
+        take = np.repeat(np.arange(len(x)), [len(p) for p in lists])
+        return pd.DataFrame({"vec_id": left.vec_id.to_numpy()[take], "list": [base + j for p in lists for j in p], "embedding": left.embedding.to_numpy()[take]})
+
+    key = ["list", "block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, _LISTED)
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosines of the pairs of rows, in one fixed order of summation."""
+    q, x = _scaled(q), _scaled(x)
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
@@ -215,8 +267,22 @@ def _compare(k: int):
     return run
 
 
-def _per_list(rows: DataFrame, what: Column) -> dict[int, int]:
-    return {r.list_id: r.n for r in rows.groupBy("list_id").agg(what.alias("n")).collect()}  # at most MAX_LISTS
+def _compared(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: in each list, and block of it, the k nearest rows of each query that searches it."""
+    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    both = saved(blocks(postings, "blocks").join(blocks(probes, "q_blocks"), "list"), "lists")
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = postings.join(both, "list").withColumn("block", dealt("blocks")).withColumn("q_block", every("q_blocks")).drop("blocks", "q_blocks")
+    q = probes.join(both, "list").withColumn("q_block", dealt("q_blocks")).withColumn("block", every("blocks")).drop("blocks", "q_blocks")
+    key = ["list", "block", "q_block"]
+    return q.groupBy(*key).cogroup(x.groupBy(*key)).applyInPandas(_compare(k), "query_id bigint, vec_id bigint, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
@@ -227,22 +293,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     model = fit_index(rows)
     if model is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("embedding") == model["dim"])
     shared = broadcast_bytes(spark, model, model["c"].nbytes + model["graph"].nbytes, MODEL_BYTES, "centroids and graph")
-    postings = saved(_assign(rows, shared), "postings")
-    sizes = _per_list(postings, F.count("*"))
-    probes = saved(_assign(rows.where(queries), shared, _per_list(postings, F.countDistinct("vec_id"))), "probes")
-    asked = _per_list(probes, F.count("*"))
-    blocks = F.create_map(*(F.lit(v) for i, n in sizes.items() for v in (i, -(-n // BLOCK))))
-    q_blocks = F.create_map(*(F.lit(v) for i, n in asked.items() for v in (i, -(-n // BLOCK)))) if asked else F.create_map(F.lit(0), F.lit(1))
-    x = postings.where(F.col("list_id").isin(list(asked) or [-1]))
-    x = x.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("list_id"))).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.element_at(q_blocks, F.col("list_id")) - 1)))
-    q = probes.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.element_at(q_blocks, F.col("list_id"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("list_id")) - 1)))
-    key = ["list_id", "block", "q_block"]
-    found = q.groupBy(*key).cogroup(x.groupBy(*key)).applyInPandas(_compare(k), "query_id bigint, vec_id bigint, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    indexed = rows.where(F.size("embedding") == model["dim"])
+    postings, probes = saved(_assign(indexed, shared, False), "postings"), saved(_assign(indexed.where(queries), shared, True), "probes")
+    if model["rows"] > MAX_LISTS * LIST_ROWS:
+        cells = saved(fit_cells(postings), "cells")
+        postings, probes = saved(_assign_in_cells(postings, cells, False), "postings"), saved(_assign_in_cells(probes, cells, True), "probes")
+    whole = rows.select("vec_id", (-F.size("embedding")).cast("bigint").alias("list"), "embedding")  # one list for each length
+    odd = whole.where(F.col("list") != -model["dim"])
+    best = saved(_best(_compared(postings.unionByName(odd), probes.unionByName(odd.where(queries)), k), k), "best")
+    ids = whole.groupBy("list").agg(F.countDistinct("vec_id").alias("ids"))
+    asked = whole.where(queries).join(ids, "list").groupBy("vec_id").agg(F.max("ids").alias("ids"))
+    has = best.groupBy("query_id").agg(F.count("*").alias("has")).withColumnRenamed("query_id", "vec_id")
+    short = asked.join(has, "vec_id", "left").where(F.coalesce("has", F.lit(0)) < F.least(F.lit(k), F.col("ids") - 1)).select("vec_id")
+    short = saved(whole.join(short, "vec_id", "left_semi"), "short")
+    if short.isEmpty():
+        return best
+    again = _best(_compared(whole, short, k), k)
+    return best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
