@@ -8,17 +8,18 @@ What is sorted where: every window of LENGTH bytes is keyed by the least hash of
 windows have equal keys, and neighbouring windows mostly share one (a run of about 14 windows). Only keys that two documents
 have can matter; a grouped minimum finds them, and the texts' runs with such keys go to the key's task as one short
 string each. There equal strings collapse, and the suffixes of those left are sorted by deep-shallow sorting: a multikey
-quicksort by eight-byte keys down to SHALLOW bytes, in lockstep over all groups, then blind tries for the groups that
-are still equal (branching places and branching bytes along a leader's path; the suffixes that leave it at the same
-branch form the next group).
+quicksort down to SHALLOW bytes (characters of eight bytes, three-way partition about a median, in lockstep over all groups;
+groups of up to SMALL are finished by one plain sort), then blind tries for the groups that are still equal: a suffix
+goes down by branching bytes alone, is compared once with the leaf that it comes to, and branches off where they differ.
 
 Skew: a key with over HOT runs does not go to one task. Its strings collapse by a grouped minimum (combined before the
-shuffle), the windows of the distinct ones again by a grouped minimum, and both come back by joins that AQE splits. So
-a passage or a copy that a third of all documents hold is never gathered.
+shuffle); the windows of the distinct ones are dealt out by their hash, so that equal windows meet in one split and all
+splits are alike, sorted there in the same way, and what is found goes back by joins that AQE splits. So a passage or a
+copy that a third of all documents hold is never gathered.
 
 Rows: a null text is empty; null ids take no part in matches and nothing is removed from them; repeated rows never match each other,
-as no id is smaller (an id must not have several different texts); texts of under LENGTH bytes stay whole; an empty
-table gives an empty result; extra columns are not read.
+as no id is smaller (an id must not have several different texts); texts of under LENGTH bytes stay whole; very long ones
+are read whole; an empty table gives an empty result; extra columns are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -31,13 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, saved, table
+from .common import discard, saved, slices, table
 from .hashing import K1, mixed
 
 LENGTH = 50
 SEED = 24
 SHALLOW = 16
-HOT = 20_000
+SMALL = 64
+HOT = 4_000
+#: Windows of hot keys that a split is meant to have.
+SPLIT_ROWS = 200_000
 SLICE_BYTES = 2_000_000
 CHUNK_ROWS = 60_000
 
@@ -90,18 +94,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("d"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        step = max(1, int(SLICE_BYTES * batch.num_rows / max(1, batch.nbytes)))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
 def document_keys(texts: DataFrame) -> DataFrame:
     """d, key, n: the distinct keys of each document, with their runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches, SLICE_BYTES):
             doc, _, _, key = runs(part.column(1).to_pylist())
             if len(doc):
                 order = np.lexsort((key, doc))
@@ -127,7 +124,7 @@ def shared_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, hot, d, start, x: the runs whose key is shared, as the bytes of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches, SLICE_BYTES):
             raw = part.column(1).to_pylist()
             doc, start, n, key = runs(raw)
             lists = part.column(2)
@@ -156,6 +153,82 @@ def shared_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "d").select("d", "text", "keys").mapInArrow(run, "key bigint, hot boolean, d bigint, start int, x binary")
 
 
+def _quicksort(key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): rows sorted by group and key, groups being together already, and which begin another (group, key).
+    Three-way partition about a median of three, in lockstep over the groups of over SMALL rows."""
+    order = np.arange(len(key))
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    done = np.zeros(len(key), bool)  # rows that equalled a pivot
+    while True:
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(new)))
+        big = (size > SMALL) & ~done[first]
+        if not big.any():
+            break
+        at, size = first[big], size[big]
+        a, b, c = key[order[at]], key[order[at + size // 2]], key[order[at + size - 1]]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        live = np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
+        k = key[order[live]]
+        side = (k >= pivot).astype(np.int64) + (k > pivot)
+        code = np.repeat(np.arange(len(at)), size) * 3 + side
+        within = np.argsort(code, kind="stable")
+        order[live], code = order[live][within], code[within]
+        new[live[1:]] |= code[1:] != code[:-1]
+        done[live] = code % 3 == 1
+    block = np.cumsum(new)
+    rest = np.flatnonzero(~done)
+    within = np.lexsort((key[order[rest]], block[rest]))
+    order[rest] = order[rest][within]
+    k, g = key[order], group[order]
+    new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+    return order, new
+
+
+class _Branch:
+    """A node of a blind trie: the place where its suffixes differ first, and what follows by the byte there."""
+
+    __slots__ = ("place", "kids")
+
+    def __init__(self, place: int, kids: dict):
+        self.place, self.kids = place, kids
+
+
+def blind_trie(suffixes: list[bytes]) -> list[list[int]]:
+    """The numbers of the suffixes, which have one length, in sorted order; those of equal ones together."""
+    length = len(suffixes[0])
+    top = [suffixes[0], 0]  # a leaf: a suffix, and the numbers of all that equal it
+    for i in range(1, len(suffixes)):
+        s, node = suffixes[i], top
+        while type(node) is _Branch:  # blindly: what lies between the branches is not looked at
+            kids = node.kids
+            node = kids.get(s[node.place]) or next(iter(kids.values()))
+        t = node[0]
+        if s == t:
+            node.append(i)
+            continue
+        place = length - 1 - ((int.from_bytes(s) ^ int.from_bytes(t)).bit_length() - 1) // 8
+        above, node = None, top
+        while type(node) is _Branch and node.place < place:
+            above, node = node, node.kids[s[node.place]]
+        if type(node) is _Branch and node.place == place:
+            node.kids[s[place]] = [s, i]
+            continue
+        branch = _Branch(place, {t[place]: node, s[place]: [s, i]})
+        if above is None:
+            top = branch
+        else:
+            above.kids[s[above.place]] = branch
+    out, open_ = [], [top]
+    while open_:
+        node = open_.pop()
+        if type(node) is _Branch:
+            open_ += [node.kids[byte] for byte in sorted(node.kids, reverse=True)]
+        else:
+            out.append(node[1:])
+    return out
+
+
 def deep_shallow(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): the suffixes at starts sorted by their first `depth` bytes, all of which must be there, and which
     of the sorted differ from the one before."""
@@ -165,54 +238,37 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shal
         return order, new
     new[0] = True
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for at in range(0, shallow, 8):  # multikey quicksort, eight bytes to a key
+    for at in range(0, shallow, 8):  # shallow: eight bytes to a character
         group = np.cumsum(new) - 1
         live = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(live):
             return order, new
         s = starts[order[live]]
         key = np.zeros(len(live), np.uint64)
-        for k in range(8):
+        for k in range(min(8, shallow - at)):
             key = key << np.uint64(8) | padded[s + at + k]
-        within = np.lexsort((key, group[live]))
+        within, first = _quicksort(key, group[live])
         order[live] = order[live][within]
-        key, g = key[within], group[live]
-        new[live[1:]] |= (key[1:] != key[:-1]) | (g[1:] != g[:-1])
+        new[live] |= first
+    group = np.cumsum(new) - 1
+    live = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(live):
+        return order, new
+    # Deep. A trie that never branches is one leaf: these are found by comparing with each group's first suffix.
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[live]) > 0]))
+    size = np.diff(np.append(first, len(live)))
+    own = starts[order[live]]
+    leaf = np.repeat(own[first], size)
     path = np.arange(shallow, depth)
-    while True:  # blind tries: one leader's path in each group that is left, all groups in lockstep
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        live = np.flatnonzero((size > 1)[group])
-        if len(live):
-            live = live[~_settled(data, starts, order, live, group, path)]
-        if not len(live):
-            return order, new
-        g = group[live]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        leader = np.repeat(starts[order[live[first]]], np.diff(np.append(first, len(live))))
-        own = starts[order[live]]
-        differs = data[own[:, None] + path] != data[leader[:, None] + path]
-        branch = np.where(differs.any(1), differs.argmax(1), len(path))
-        place = np.minimum(shallow + branch, depth - 1)
-        byte, other = data[own + place].astype(np.int64), data[leader + place].astype(np.int64)
-        equal = branch == len(path)
-        side = np.where(equal, 1, np.where(byte < other, 0, 2))
-        rank = np.where(equal, 0, np.where(side == 0, branch, len(path) - branch))
-        byte = np.where(equal, 0, byte)
-        within = np.lexsort((byte, rank, side, g))
-        order[live] = order[live][within]
-        code = ((side * (len(path) + 1) + rank) * 256 + byte)[within]
-        new[live[1:]] |= (code[1:] != code[:-1]) & (g[1:] == g[:-1])
-
-
-def _settled(data: np.ndarray, starts: np.ndarray, order: np.ndarray, live: np.ndarray, group: np.ndarray, path: np.ndarray) -> np.ndarray:
-    """Which of the live rows are in groups of equal suffixes."""
-    g = group[live]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    per = np.diff(np.append(first, len(live)))
-    leader = np.repeat(starts[order[live[first]]], per)
-    same = (data[starts[order[live]][:, None] + path] == data[leader[:, None] + path]).all(1)
-    return np.repeat(np.logical_and.reduceat(same, first), per)
+    equal = (data[own[:, None] + path] == data[leaf[:, None] + path]).all(1)
+    raw = data.tobytes()
+    for k in np.flatnonzero(~np.logical_and.reduceat(equal, first)).tolist():
+        rows = live[first[k] : first[k] + size[k]]
+        sorted_ = blind_trie([raw[p + shallow : p + depth] for p in own[first[k] : first[k] + size[k]].tolist()])
+        order[rows] = order[rows][[i for same in sorted_ for i in same]]
+        at = np.cumsum([len(same) for same in sorted_[:-1]])
+        new[rows[at]] = True
+    return order, new
 
 
 def _hits(key: np.ndarray, d: np.ndarray, start: np.ndarray, x: pa.Array) -> tuple[np.ndarray, ...]:
@@ -296,12 +352,54 @@ def cold_spans(found: DataFrame) -> DataFrame:
     return found.where("NOT hot").select("key", "d", "start", "x").repartition("key").sortWithinPartitions("key", "x").mapInArrow(run, _SPANS)
 
 
+def _collapsed(w: pa.Array, least: np.ndarray) -> pa.RecordBatch:
+    """The distinct windows, sorted, with the least document of each."""
+    order, new = deep_shallow(np.frombuffer(b"".join(w.to_pylist()), np.uint8), np.arange(len(w)) * LENGTH)
+    first = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([w.take(pa.array(order[first])), pa.array(np.minimum.reduceat(least[order], first))], names=["w", "least"])
+
+
+def least_by_window(windows: DataFrame) -> DataFrame:
+    """w, best: the least document of each window, from (w, least). Batches collapse where they are, so that a window of all
+    strings is one row of each; what is left is dealt to splits by hash, each sorted as a whole."""
+
+    def batch_by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _collapsed(batch.column(0), batch.column(1).to_numpy())
+
+    def split_by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held = None, []
+
+        def whole() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            return _collapsed(t["w"].combine_chunks(), t["least"].to_numpy()).rename_columns(["w", "best"])
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a:
+                    if held and numbers[a] != split:
+                        yield whole()
+                        held = []
+                    split = numbers[a]
+                    held.append(batch.slice(a, z - a))
+        if held:
+            yield whole()
+
+    few = saved(windows.mapInArrow(batch_by_batch, "w binary, least bigint"), "windows")
+    splits = max(1, -(-few.count() // SPLIT_ROWS))
+    dealt = few.select(F.pmod(F.xxhash64("w"), F.lit(splits)).alias("split"), "w", "least")
+    return dealt.repartition("split").sortWithinPartitions("split").mapInArrow(split_by_split, "w binary, best bigint")
+
+
 def hot_spans(found: DataFrame) -> DataFrame:
-    """Removed bytes by the hot keys: grouped minimums over distinct strings, then over their windows."""
+    """Removed bytes by the hot keys: grouped minimums over distinct strings, then sorted splits of their windows."""
     hot = found.where("hot")
-    strings = hot.groupBy("x").agg(F.min("d").alias("least"))
+    strings = saved(hot.groupBy("x").agg(F.min("d").alias("least")), "strings")
     windows = strings.select("x", "least", F.explode(F.sequence(F.lit(1), F.length("x") - LENGTH + 1)).alias("at")).withColumn("w", F.expr(f"substring(x, at, {LENGTH})"))
-    best = windows.groupBy("w").agg(F.min("least").alias("best"))
+    best = least_by_window(windows.select("w", "least"))
     by_string = windows.join(best, "w").groupBy("x").agg(F.collect_list(F.struct("at", "best")).alias("windows"))  # at most LENGTH - SEED + 1
     hits = hot.join(by_string, "x").select("d", "start", F.transform(F.filter(F.array_sort("windows"), lambda v: v["best"] < F.col("d")), lambda v: v["at"]).alias("at")).where(F.size("at") > 0)
 
@@ -344,7 +442,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches, SLICE_BYTES):
             rows = []
             for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 merged = merge_spans([(x["s"], x["e"]) for x in spans]) if spans else []
