@@ -55,7 +55,6 @@ def test_copies_of_an_id_take_one_place():
 
 def test_repeated_rows_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(N, "LIST_ROWS", 32)
-    monkeypatch.setattr(N, "MIN_ROWS", 60)
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(v)) for v in rng.normal(size=8)], 0) for i in range(600)]
     once = N.search(spark.createDataFrame(rows, ROWS), F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect()
@@ -86,11 +85,77 @@ def test_walk_finds_the_nearest_centroids():
     rng = np.random.default_rng(2)
     c = N._unit(rng.normal(size=(300, 8)))
     q = N._unit(rng.normal(size=(50, 8)))
-    ids, _ = N.walk(q, c, N.centroid_graph(c), 64)
-    best = np.argmax(q @ c.T, 1)
-    assert (ids[:, 0] == best).mean() > 0.95
-    all_ids, _ = N.walk(q, c, N.centroid_graph(c), 300)
-    assert all(sorted(r) == list(range(300)) for r in all_ids.tolist())
+    dist = np.sqrt(np.maximum(2 - 2 * (q @ c.T), 0))
+    found = N.walk(q, c, N.centroid_graph(c), 1.2, 10)
+    assert np.mean([ids[0] == d.argmin() for (ids, _), d in zip(found, dist)]) > 0.95
+    share, wrong = [], 0
+    for (ids, far), d in zip(found, dist):
+        assert np.allclose(far, d[ids]) and np.all(np.diff(far) >= 0)
+        within = set(np.flatnonzero(d <= 1.2 * d.min()).tolist()) | set(np.argsort(d)[:10].tolist())
+        share.append(len(within & set(ids.tolist())) / len(within))
+    assert np.mean(share) > 0.95
+    assert all(sorted(ids.tolist()) == list(range(300)) for ids, _ in N.walk(q, c, N.centroid_graph(c), 1.0, 300))
+
+
+def test_the_walk_prunes():
+    rng = np.random.default_rng(3)
+    centres = N._unit(rng.normal(size=(40, 32)))
+    c = N._unit(np.repeat(centres, 50, 0) + 0.02 * rng.normal(size=(2000, 32)))
+    looked = []
+    real = np.einsum
+    q = N._unit(c[::100] + 0.01 * rng.normal(size=(20, 32)))
+    try:
+        np.einsum = lambda f, a, b: (looked.append(len(a)), real(f, a, b))[1]
+        found = N.walk(q, c, N.centroid_graph(c), 1.3, 16)
+    finally:
+        np.einsum = real
+    assert sum(looked) < 0.25 * len(q) * len(c)
+    assert np.mean([ids[0] == np.argmax(v @ c.T) for (ids, _), v in zip(found, q)]) > 0.8
+
+
+def test_two_levels(spark, monkeypatch):
+    for name, value in (("LIST_ROWS", 16), ("MAX_LISTS", 16), ("BLOCK", 100)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 16)) * 3
+    rows = [(i, (centres[i % 60] + rng.normal(size=16)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], ROWS)
+    got = {}
+    for r in N.search(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    expected = brute(rows, 5, 50)
+    assert set(got) == set(expected) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & {j for j, _ in expected[q]}) for q in expected) >= 0.9 * 5 * len(expected)
+
+
+def test_one_id_in_the_way(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST_ROWS", 16)
+    monkeypatch.setattr(N, "LEAST", 2)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=8)
+    rows = [(0, base.tolist())] + [(1, (base + rng.normal(size=8) * 0.001).tolist()) for _ in range(600)] + [(i, (-base + rng.normal(size=8) * 0.1).tolist()) for i in range(2, 400)]
+    got = N.search(spark.createDataFrame([(i, v, 0) for i, v in rows], ROWS), F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    u = [np.float32(v).astype(float) for _, v in rows]
+    best = sorted(range(2, 400), key=lambda i: -float(N.exact_scores(u[0][None], u[599 + i][None])[0]))
+    assert [r.vec_id for r in got] == [1, *best[:4]]
+
+
+def test_other_lengths_and_magnitudes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(50)] + [(100 + i, [1.0, float(i)]) for i in range(4)] + [(200, [5.0])]
+    rows += [(300, [1e200, 1e200, 0.0, 0.0]), (301, [1e-200, 1e-200, 1e-200, 0.0]), (302, [1e-320, 1e-320, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in N.search(df, F.lit(True), 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in got[100]] == [101, 102, 103] and 200 not in got
+    assert all(len(got[i]) == 5 and all(math.isfinite(s) for _, s in got[i]) for i in (*range(50), 300, 301, 302))
+    assert got[300][0] == (302, 1.0) or abs(got[300][0][1] - 1) < 1e-12
+    plain = lambda v, w: sum(a * b for a, b in zip(v, w)) / math.sqrt(sum(a * a for a in v)) / math.sqrt(sum(b * b for b in w))
+    vectors = dict(rows)
+    for q in range(50):
+        truth = sorted(((plain(vectors[q], vectors[j]), j) for j in range(50) if j != q), reverse=True)[:3]
+        assert [round(s, 9) for i, s in got[q] if i < 50][:3] == [round(s, 9) for s, _ in truth][: len([1 for i, _ in got[q] if i < 50][:3])]
 
 
 def test_balanced_lists():

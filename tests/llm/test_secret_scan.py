@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import string
 
 from stratavec.llm import secret_scan as S
 from tests.llm.helpers import docs_of, sentence
@@ -107,3 +108,73 @@ def test_redaction(spark):
     texts = [None, "x password: abcdefghijkl y", "plain"]
     got = S.redacted(docs_of(spark, texts)).orderBy("doc_id").collect()
     assert [(r.text, r.n_chars) for r in got] == [(None, None), ("x [SECRET] y", 12), ("plain", 5)]
+
+
+def plain_columns(text):
+    """Counts and hash of the contract, by its patterns alone."""
+    import hashlib
+    import re
+
+    text = text or ""
+    found = []
+    for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 12:
+            found.append((m.start(), 0, "assign", m.end()))
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 16]
+    found.sort()
+    joined = ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in found)
+    return tuple(sum(f[2] == kind for f in found) for kind in ("assign", "access", "hex")) + (hashlib.sha256(joined.encode()).hexdigest(), found)
+
+
+def test_query_against_patterns_and_direct_control(spark, tmp_path):
+    """The contract's columns, and the added spans by Benjamini-Hochberg over the plain list of p-values."""
+    rng = random.Random(11)
+    token = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
+    texts = [None, "", "é api_key: " + token(20), "AKIA" + "Q" * 16 + " PASSWD='" + token(12) + "' deadbeefdeadbeef00", "token=short", f"{token(40)} {token(22)}"]
+    texts += [f"see ThisIsACamelCaseIdentifierName{i} and path/to/some/File{i}/withManyParts {token(rng.randrange(20, 60)) if i % 3 else ''}" for i in range(60)]
+    texts += [texts[5], "x " * 30_000 + token(5000) + " end"]
+    docs = docs_of(spark, texts).selectExpr("*", "'a' AS spans", "1 AS length", "2 AS bin")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in S.op9_secret_scan(spark, str(tmp_path)).collect()}
+    candidates = []
+    for i, t in enumerate(texts):
+        base = S.base_spans(t or "")
+        for m in S.TOKEN.finditer(t or ""):
+            p = S.battery(m.group())
+            if p and p[0] >= S.ALPHA and not any(s < m.end() and e > m.start() for s, _, e in base):
+                candidates.append((p[1], i, m.start(), m.end()))
+    mean = sum(e - s for _, _, s, e in candidates) / len(candidates)
+    scores = sorted((min(1.0, p * mean / (e - s)), i, s, e) for p, i, s, e in candidates)
+    last = max([k for k, c in enumerate(scores, 1) if c[0] <= S.FDR * k / len(scores)], default=0)
+    for i, t in enumerate(texts):
+        *counts, digest, found = plain_columns(t)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == (*counts, digest)
+        random_ = {f"random:{s}:{e}" for q, j, s, e in scores[:last] if j == i}
+        mine = set(got[i].spans.split(",")) - {""} - {f"{kind}:{s}:{e}" for s, _, kind, e in found}
+        assert mine == random_
+    assert last > 20
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert S.op9_secret_scan(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_long_texts_dense_in_hits():
+    import time
+
+    text = " ".join(f"deadbeefdeadbeef{i:04x} Abcdefghij{i:012d}Kl" for i in range(20_000))
+    began = time.perf_counter()
+    S.random_tokens(text, S.base_spans(text))
+    assert time.perf_counter() - began < 20
+
+
+def test_uniformity_tail_against_simulation():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, k in ((20, 62), (40, 16), (200, 64)):
+        counts = np.array([np.bincount(row, minlength=k) for row in rng.integers(0, k, (40_000, n))])
+        pairs = (counts * (counts - 1) // 2).sum(1)
+        for q in (0.5, 0.05, 0.005):
+            s = int(np.quantile(pairs, 1 - q)) + 1
+            share = (pairs >= s).mean()
+            assert abs(S._pairs_tail(s, n, k) - share) < 5 * (share / 40_000) ** 0.5 + 0.02 * share

@@ -78,3 +78,31 @@ def test_rows(spark):
 def test_crossing_pieces_are_refused():
     with pytest.raises(ValueError, match="crosses"):
         S.Sampler([(0, "a▁b", False)])
+
+
+def test_other_words_before_change_nothing(sampler):
+    import random
+
+    rng = random.Random(5)
+    texts = ["The quick brown fox jumps over the lazy dog; naïve façade.", "wordless " * 30, "internationalisation"]
+    first = S.Sampler(S.read_vocabulary()).encode([1, 2, 3], texts)
+    late = S.Sampler(S.read_vocabulary())
+    late.encode([9], [" ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(100_000))])
+    after = late.encode([1, 2, 3], texts)
+    assert all(a.tolist() == b.tolist() for a, b in zip(first, after))
+    one, other = S.Sampler(S.read_vocabulary()), late
+    words = ["▁quick", "▁brown", "naïve"]
+    for s in (one, other):
+        s.found = s.lattice(words)
+    for k in ("start", "search", "tokens"):
+        assert np.array_equal(one.found[k], other.found[k])
+    kept = lambda s, w: s.kept["search"][s.kept["cut"][s.kept["rank"][s.kept["first"][s.known[w] + 1] - 1]]] & (1 << S.PRECISION) - 1
+    one.encode([1], [texts[0]])
+    assert kept(one, "▁quick") == kept(late, "▁quick")
+
+
+def test_repeated_rows_and_extra_columns(spark):
+    docs = docs_of(spark, ["same text here", "same text here", "x" * 50_000], [4, 4, 5]).selectExpr("*", "'a' AS ids", "1 AS lossless")
+    got = S.sample_pieces(docs).orderBy("doc_id").collect()
+    assert got[0].ids == got[1].ids and all(r.lossless for r in got)
+    assert S.sample_pieces(docs_of(spark, [])).count() == 0

@@ -32,6 +32,7 @@ def brute(rows):
 def test_against_brute_force(spark, monkeypatch, hot, chunk):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(S, "SPLIT_ROWS", 4 * hot)
     rng = random.Random(5)
     passages = [sentence(rng, 12), "é" * 40, "a" * 300, "ab" * 90, sentence(rng, 40)]
     rows = [(None, passages[0]), (3, None), (4, ""), (5, "short"), (900, "x" * 49), (901, "x" * 50), (902, "x" * 50)]
@@ -60,6 +61,26 @@ def test_deep_shallow_orders_suffixes():
     assert new.tolist() == [i == 0 or suffixes[i] != suffixes[i - 1] for i in range(len(suffixes))]
 
 
+def test_blind_trie_sorts():
+    rng = random.Random(8)
+    for n in (2, 3, 50, 400):
+        words = [bytes(rng.choices(b"\x00ab\xff", k=6)) for _ in range(n)]
+        got = S.blind_trie(words)
+        assert [words[i] for same in got for i in same] == sorted(words)
+        assert len(got) == len(set(words)) and all(len({words[i] for i in same}) == 1 for same in got)
+
+
+def test_quicksort_sorts_groups():
+    rng = np.random.default_rng(9)
+    group = np.sort(rng.integers(0, 5, 5000))
+    for key in (rng.integers(0, 2**63, 5000), rng.integers(0, 3, 5000), np.zeros(5000)):
+        key = key.astype(np.uint64)
+        order, new = S._quicksort(key, group)
+        pairs = list(zip(group[order].tolist(), key[order].tolist()))
+        assert pairs == sorted(zip(group.tolist(), key.tolist()))
+        assert new.tolist() == [i == 0 or pairs[i] != pairs[i - 1] for i in range(5000)]
+
+
 def test_equal_windows_have_equal_keys():
     rng = random.Random(7)
     w = bytes(rng.choices(b"abcdef ", k=50))
