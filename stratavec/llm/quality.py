@@ -33,7 +33,7 @@ BUCKETS = 10_000
 #: The target model's bound: labelled rows in the sample.
 SAMPLE_ROWS = 20_000
 SMOOTHING = 1.0
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 200_000
 
 _CLASS = np.array([1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0 if b in b" \t\n\r\0" else 2 for b in range(256)], np.uint8)
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
