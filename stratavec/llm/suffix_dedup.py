@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,14 @@ from .hashing import K1, mixed
 LENGTH = 50
 SEED = 24
 SHALLOW = 16
-SMALL = 64
-HOT = 4_000
+SMALL = 1000
+HOT = 20_000
 #: Windows of hot keys that a split is meant to have.
 SPLIT_ROWS = 200_000
 SLICE_BYTES = 2_000_000
 CHUNK_ROWS = 60_000
+#: Windows that are hashed at a time, so that the arrays stay in the processor's cache.
+KEYS_AT_ONCE = 50_000
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * K1)
 _B = [np.uint64(pow(0x2545F4914F6CDD1D, k, 2**64)) for k in range(33)]
@@ -69,7 +72,9 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
         return none, none, none, none.astype(np.uint64)
-    keys = window_keys(data)
+    keys = np.empty(len(data) - LENGTH + 1, np.uint64)
+    for at in range(0, len(keys), KEYS_AT_ONCE):
+        keys[at : at + KEYS_AT_ONCE] = window_keys(data[at : at + KEYS_AT_ONCE + LENGTH - 1])
     lengths = np.array([len(t) for t in texts])
     begin = np.cumsum(lengths) - lengths
     n_windows = np.maximum(lengths - LENGTH + 1, 0)
@@ -94,30 +99,32 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("d"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
 
 
-def document_keys(texts: DataFrame) -> DataFrame:
-    """d, key, n: the distinct keys of each document, with their runs."""
+def document_keys(texts: DataFrame, distinct: bool) -> DataFrame:
+    """d, key of the runs of each document; distinct: a key once for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE_BYTES):
             doc, _, _, key = runs(part.column(1).to_pylist())
             if len(doc):
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-                n = np.diff(np.append(first, len(doc))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[first])), pa.array(key[first].view(np.int64)), pa.array(n)], names=["d", "key", "n"])
+                if distinct:
+                    order = np.lexsort((key, doc))
+                    doc, key = doc[order], key[order]
+                    first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+                    doc, key = doc[first], key[first]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(key.view(np.int64))], names=["d", "key"])
 
-    return texts.mapInArrow(run, "d bigint, key bigint, n int")
+    return texts.mapInArrow(run, "d bigint, key bigint")
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
     """key, hot: the keys that occur in two documents or more."""
-    return document_keys(texts).groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.sum("n").alias("n")).where("a < z").select("key", (F.col("n") > HOT).alias("hot"))
+    found = document_keys(texts, False).groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count("*").alias("n"))
+    return found.where("a < z").select("key", (F.col("n") > HOT).alias("hot"))
 
 
 def wanted_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """d, keys: the shared keys (key, hot) of each document, as many as it has."""
-    return document_keys(texts).select("d", "key").join(keys, "key").groupBy("d").agg(F.collect_list(F.struct("key", "hot")).alias("keys"))
+    return document_keys(texts, True).join(keys, "key").groupBy("d").agg(F.collect_list(F.struct("key", "hot")).alias("keys"))
 
 
 def shared_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -237,16 +244,13 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shal
     if not len(starts):
         return order, new
     new[0] = True
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    characters = sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
     for at in range(0, shallow, 8):  # shallow: eight bytes to a character
         group = np.cumsum(new) - 1
         live = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(live):
             return order, new
-        s = starts[order[live]]
-        key = np.zeros(len(live), np.uint64)
-        for k in range(min(8, shallow - at)):
-            key = key << np.uint64(8) | padded[s + at + k]
+        key = characters[starts[order[live]] + at].view(">u8")[:, 0].astype(np.uint64)
         within, first = _quicksort(key, group[live])
         order[live] = order[live][within]
         new[live] |= first
@@ -254,20 +258,36 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shal
     live = np.flatnonzero(np.bincount(group)[group] > 1)
     if not len(live):
         return order, new
-    # Deep. A trie that never branches is one leaf: these are found by comparing with each group's first suffix.
+    # Deep. Tries of one leaf and of two, which are most of them, are built in lockstep: all suffixes of a group are
+    # compared with its first one, and the others with the first that differs from it.
     first = np.flatnonzero(np.concatenate([[True], np.diff(group[live]) > 0]))
     size = np.diff(np.append(first, len(live)))
     own = starts[order[live]]
-    leaf = np.repeat(own[first], size)
-    path = np.arange(shallow, depth)
-    equal = (data[own[:, None] + path] == data[leaf[:, None] + path]).all(1)
-    raw = data.tobytes()
-    for k in np.flatnonzero(~np.logical_and.reduceat(equal, first)).tolist():
+    tail = sliding_window_view(data, depth - shallow)[own + shallow]
+    equal = (tail == np.repeat(tail[first], size, 0)).all(1)
+    branched = ~np.logical_and.reduceat(equal, first)
+    rows = np.flatnonzero(np.repeat(branched, size))
+    if not len(rows):
+        return order, new
+    live, own, tail, equal, size = live[rows], own[rows], tail[rows], equal[rows], size[branched]
+    first = np.cumsum(size) - size
+    number = np.repeat(np.arange(len(first)), size)
+    other = np.flatnonzero(~equal)
+    other = other[np.concatenate([[True], np.diff(number[other]) > 0])]  # the first of each group
+    place = (tail[first] != tail[other]).argmax(1)
+    swap = tail[first, place] > tail[other, place]
+    two = np.logical_and.reduceat(equal | (tail == np.repeat(tail[other], size, 0)).all(1), first)
+    side = equal == swap[number]  # of the leaf that comes second
+    rows = np.flatnonzero(two[number])
+    code = number[rows] * 2 + side[rows]
+    within = np.argsort(code, kind="stable")
+    order[live[rows]] = order[live[rows][within]]
+    new[live[rows][1:]] |= (np.diff(code[within]) == 1) & (code[within][1:] % 2 == 1)
+    for k in np.flatnonzero(~two).tolist():
         rows = live[first[k] : first[k] + size[k]]
-        sorted_ = blind_trie([raw[p + shallow : p + depth] for p in own[first[k] : first[k] + size[k]].tolist()])
+        sorted_ = blind_trie([t.tobytes() for t in tail[first[k] : first[k] + size[k]]])
         order[rows] = order[rows][[i for same in sorted_ for i in same]]
-        at = np.cumsum([len(same) for same in sorted_[:-1]])
-        new[rows[at]] = True
+        new[rows[np.cumsum([len(same) for same in sorted_[:-1]])]] = True
     return order, new
 
 
