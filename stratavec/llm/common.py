@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import discard, saved, scratch_path, shared_dir
 
-__all__ = ["broadcast_bytes", "discard", "filter_rows", "map_rows", "saved", "scratch_path", "shared_dir", "slices", "table"]
+__all__ = ["broadcast_bytes", "broadcast_if_small", "discard", "filter_rows", "map_rows", "saved", "scratch_path", "shared_dir", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +62,14 @@ def broadcast_bytes(spark: SparkSession, value, n_bytes: int, limit: int, what:
     if n_bytes > limit:
         raise ValueError(f"{what}: {n_bytes} bytes; at most {limit} are broadcast")
     return spark.sparkContext.broadcast(value)
+
+
+#: Bytes that a table may be broadcast with.
+BROADCAST_BYTES = 32_000_000
+
+
+def broadcast_if_small(df: DataFrame, bytes_of_a_row: int) -> DataFrame:
+    """df, to be broadcast in a join if its rows, which are counted, take at most BROADCAST_BYTES; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * bytes_of_a_row <= BROADCAST_BYTES else df
