@@ -387,7 +387,7 @@ def add_const_wrapping(spark, sf_dir):
     return X.add_constant_wrapping(users(spark, sf_dir), 4294967290, 32).select("pos", "v")
 
 
-@_query("SELECT event_id AS pos, CAST(user_id AS HUGEINT) + 18446744073709551000 - CASE WHEN user_id >= 616 THEN 18446744073709551616 ELSE 0 END AS v FROM events")
+@_query("SELECT event_id AS pos, CAST(CAST(user_id AS HUGEINT) + 18446744073709551000 - CASE WHEN user_id >= 616 THEN 18446744073709551616 ELSE 0 END AS DECIMAL(20, 0)) AS v FROM events")
 def add_const_wrapping_u64(spark, sf_dir):
     """Unsigned 64-bit sums, as decimals."""
     wrapped = X.add_constant_wrapping(users(spark, sf_dir), 18446744073709551000, 64)

@@ -87,3 +87,18 @@ def test_section_sizes_take_one_shuffle(spark):
     df = spark.range(1000).selectExpr("'v' AS vec", "id AS pos", "id % 7 AS v")
     plan = E.section_bytes(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_idle_series_are_forgotten(spark, tmp_path):
+    import time
+
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema("series string, ts bigint, n array<bigint>").parquet(str(source))
+    q = stream_time_diff(stream, idle_ms=1).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).start()
+    for ts, series, n in ((1, "a", [5]), (2, "b", [7]), (3, "a", [6])):
+        pd.DataFrame({"series": [series], "ts": [ts], "n": [n]}).to_parquet(source / f"{ts}.parquet")
+        q.processAllAvailable()
+        time.sleep(0.1)
+    q.stop()
+    assert [(r.series, list(r.n)) for r in spark.sql("SELECT * FROM idle ORDER BY ts").collect()] == [("a", [5]), ("b", [7]), ("a", [6])]
