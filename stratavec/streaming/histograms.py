@@ -16,7 +16,8 @@ def stream_time_diff(rows: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
     Snapshots of a series are taken in order of ts within a trigger; later triggers go on from the state. A snapshot
     that is not newer than the last one of its series is left out. The state of a series that has had no snapshot for
-    idle_ms of processing time is dropped, and its next one counts as its first; by default states are kept."""
+    idle_ms of processing time is dropped, and its next one counts as its first. That needs batches without data, so such a
+    query runs until it is stopped, with any trigger. By default states are kept."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

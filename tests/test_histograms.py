@@ -95,10 +95,16 @@ def test_idle_series_are_forgotten(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     stream = spark.readStream.schema("series string, ts bigint, n array<bigint>").parquet(str(source))
-    q = stream_time_diff(stream, idle_ms=1).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).start()
-    for ts, series, n in ((1, "a", [5]), (2, "b", [7]), (3, "a", [6])):
-        pd.DataFrame({"series": [series], "ts": [ts], "n": [n]}).to_parquet(source / f"{ts}.parquet")
-        q.processAllAvailable()
-        time.sleep(0.1)
-    q.stop()
+    writer = stream_time_diff(stream, idle_ms=1).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c"))
+    q = writer.trigger(processingTime="100 milliseconds").start()  # a query with such timeouts is never done by itself
+    try:
+        for k, (ts, series, n) in enumerate(((1, "a", [5]), (2, "b", [7]), (3, "a", [6])), 1):
+            pd.DataFrame({"series": [series], "ts": [ts], "n": [n]}).to_parquet(tmp_path / f"{ts}.parquet")
+            (tmp_path / f"{ts}.parquet").rename(source / f"{ts}.parquet")
+            until = time.time() + 30
+            while spark.table("idle").count() < k and time.time() < until:
+                time.sleep(0.1)
+            time.sleep(3)
+    finally:
+        q.stop()
     assert [(r.series, list(r.n)) for r in spark.sql("SELECT * FROM idle ORDER BY ts").collect()] == [("a", [5]), ("b", [7]), ("a", [6])]
