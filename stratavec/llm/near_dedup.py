@@ -15,9 +15,14 @@ Candidates: within a bucket every text is compared with one pivot, the member wh
 centre of a group of edited copies). What is linked then merges to components, and only buckets that still hold several
 components go on: those of at most CROWD texts are compared in full; larger ones, such as those of a passage that many
 unlike texts share, are split by longer tuples of the same function (LEVELS), which unlike texts rarely share, and each
-part that is still large has a pivot of its own. After the longest tuples new pivots are drawn as long as they find links.
-No bucket's pairs are ever listed, and the work for a bucket grows with its size. Pairs whose lengths rule the similarity
-out are dropped beforehand, which is exact.
+part that is still large has a pivot of its own. This only merges cheaply what it can.
+
+The rest of the crowded buckets, those that hold several components even then, is joined exactly: all pairs of their texts
+of different components that can be similar are verified. Similar texts have so many words in common (repeated words
+counted as often as both have them) that, all words in one fixed order, rare ones first, their first fifths have one in
+common, and at places that leave enough words behind (prefix and position filter). A word's list is dealt to cells of
+CELL_ROWS by CELL_ROWS rows, but never the largest component of a list against itself. Pairs whose lengths rule the
+similarity out are dropped beforehand, which is exact.
 
 Verification aligns words: by a longest increasing subsequence where none of them repeats, else by a bit-parallel common
 subsequence in a band about the diagonal, widened until no alignment good enough could leave it.
@@ -57,6 +62,8 @@ SHORT_WIDTH, SHORT_REPEATS, SHORT_SIZE = 2, 24, 3
 #: Words: texts under SHORT have tuples of word pairs, those from LONG tuples of shingles.
 SHORT, LONG = 64, 48
 CROWD = 16
+#: Of a word's list in the exact join; counters that order the words.
+CELL_ROWS, SLOTS = 1000, 1 << 16
 BLOCK_ROWS, BLOCK_WORDS = 100, 200_000
 SLICE_BYTES = 300_000
 
@@ -219,14 +226,11 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> Da
     return found.groupBy("node").agg(F.min("text").alias("text"))  # rows may repeat
 
 
-def pivot_pairs(members: DataFrame, roots: DataFrame | None, draw: int | None = None) -> DataFrame:
+def pivot_pairs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """pivot, node, n_words: whom each content is to be compared with; distinct. The pivot is the member of most
-    neighbours, or one drawn by hash."""
-    if draw is None:
-        score = members.groupBy("node").agg(F.sum("n").alias("score"))
-        ranked = members.join(score, "node")
-    else:
-        ranked = members.withColumn("score", F.xxhash64("node", F.lit(draw)))
+    neighbours."""
+    score = members.groupBy("node").agg(F.sum("n").alias("score"))
+    ranked = members.join(score, "node")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("score", "node", "n_words")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n_words").alias("p_words"))
     pairs = members.join(pivots, "bucket").where("pivot <> node").where(_lengths_fit("n_words", "p_words")).select("pivot", "node", "n_words").distinct()
     if roots is None:
@@ -323,6 +327,78 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(several, "bucket")
 
 
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(48)).astype(np.int64) % SLOTS
+
+
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """Occurrences of the labelled words of column text, by slots of their hashes. They only put frequent words last, so
+    words that share a slot do no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for part in slices(batches, SLICE_BYTES):
+            words = np.concatenate(shingles_of(*word_hashes(part.column(0).to_pylist()), 1, labelled=True))
+            counts += np.bincount(_slots(words), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        out[slot] = n
+    return out
+
+
+def rare_words(rest: DataFrame, counts: np.ndarray) -> DataFrame:
+    """word, place, node, root, n_words: of each text (node, root, text) as many of the rarest labelled words as a similar
+    text may lack, and one more, with their places in the order."""
+    shared = rest.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE_BYTES):
+            texts = shingles_of(*word_hashes(part.column(2).to_pylist()), 1, labelled=True)
+            kept = [words[np.lexsort((words, shared.value[_slots(words)]))[: int((1 - SIMILARITY) * len(words) + 1e-6) + 1]] for words in texts]
+            n = [len(k) for k in kept]
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            place = np.concatenate([np.arange(k) for k in n])
+            columns = [pa.array(np.concatenate(kept).view(np.int64)), pa.array(place, pa.int32()), part.column(0).take(row), part.column(1).take(row)]
+            lengths = pa.array(np.repeat([len(words) for words in texts], n), pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, lengths], names=["word", "place", "node", "root", "n_words"])
+
+    return rest.select("node", "root", "text").mapInArrow(run, "word bigint, place int, node binary, root binary, n_words int")
+
+
+def pairs_of_rare_words(words: DataFrame) -> DataFrame:
+    """pivot, node, n_words: all pairs of texts of different roots that may be similar by a rare word of both; distinct.
+
+    Of a word's list, the rows of its most frequent root (blocks from `others` on) meet the others only."""
+    per_root = words.groupBy("word", "root").agg(F.count("*").alias("n"))
+    lists = per_root.groupBy("word").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    blocks = lambda n: F.ceil(n / CELL_ROWS).cast("int")
+    lists = lists.select("word", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    block = F.when(F.col("root") == F.col("main"), F.col("others") + dealt("mains")).otherwise(dealt("others"))
+    rows = saved(words.join(lists, "word").withColumn("block", block).drop("main"), "cells")
+    of = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "n_words", "place")]
+    a = rows.where("block < others").select("word", F.col("block").alias("low"), F.explode(F.expr("sequence(block, others + mains - 1)")).alias("high"), *of("a"))
+    b = rows.select("word", F.explode(F.expr("sequence(0, least(block, others - 1))")).alias("low"), F.col("block").alias("high"), *of("b"))
+    left = F.least(F.col("n_words_a") - F.col("place_a"), F.col("n_words_b") - F.col("place_b"))
+    enough = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_words_a") + F.col("n_words_b")) - 1e-6
+    met = a.join(b, ["word", "low", "high"]).where("root_a <> root_b AND (low < high OR node_a < node_b)").where(enough)
+    return met.select(F.col("node_a").alias("pivot"), F.col("node_b").alias("node"), F.col("n_words_b").alias("n_words")).distinct()
+
+
+def exact_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b of all similar texts of different roots in rest (node, root)."""
+    rest = saved(rest.join(texts, "node"), "rest")
+    words = saved(rare_words(rest, word_counts(rest)), "words")
+    pairs = saved(pairs_of_rare_words(words), "pairs")
+    discard(words, rest)
+    found = saved(pivot_links(pairs, texts), "links")
+    discard(pairs)
+    return found
+
+
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, root after more links (a, b)."""
     if roots is None:
@@ -342,19 +418,21 @@ def content_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = saved(shared_buckets(nodes), "buckets")
     texts = saved(candidate_texts(docs, nodes, members), "texts")
 
-    def by_pivots(members: DataFrame, roots: DataFrame | None, draw: int | None = None) -> DataFrame:
-        pairs = saved(pivot_pairs(members, roots, draw), "pairs")
+    def by_pivots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+        pairs = saved(pivot_pairs(members, roots), "pairs")
         found = saved(pivot_links(pairs, texts), "links")
         discard(pairs)
         return found
 
     roots = merged(None, by_pivots(members, None))
-    links, last = [], members
+    links, crowded, last = [], None, members
     for level in range(len(LEVELS)):  # at level 0 all have met a pivot
         members = last if not level else split_buckets(many, texts, level)
         open_ = saved(_open(members, roots), "open")
-        discard(last)
+        if last is not crowded:
+            discard(last)
         few, many, last = open_.where(F.col("n") <= CROWD), open_.where(F.col("n") > CROWD), open_
+        crowded = crowded if level else open_
         if not few.isEmpty():
             links.append(saved(crowd_links(few, texts), "links"))
         if many.isEmpty():
@@ -363,14 +441,10 @@ def content_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             links.append(by_pivots(many, roots))
     if links:
         roots = merged(roots, _union(links))
-    draw = 0
-    while not many.isEmpty():
-        many = saved(_open(many, roots), "open")
-        found = by_pivots(many, roots, draw)
-        if found.isEmpty():
-            break
-        roots, draw = merged(roots, found), draw + 1
-    discard(texts, nodes)
+    rest = saved(_open(crowded.where(F.col("n") > CROWD), roots).select("node", "root").distinct(), "rest")
+    if not rest.isEmpty():
+        roots = merged(roots, exact_links(rest, texts))
+    discard(texts, nodes, rest)
     return rows, roots
 
 

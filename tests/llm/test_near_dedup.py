@@ -56,6 +56,26 @@ def test_a_passage_that_unlike_texts_share(spark, monkeypatch, crowd):
     assert found(spark, rows) == classes(rows)
 
 
+def passage_with_copies(rng, n):
+    """n unlike texts with a long common passage and a copy of each, every other word of its own part edited: no shingle but
+    the passage's is common to both, so all their common buckets are crowded, whatever the tuples' length."""
+    passage, texts = sentence(rng, 126), []
+    for _ in range(n):
+        own = sentence(rng, 34).split()
+        copy = [w if i % 2 else f"new{rng.randrange(10**6)}" for i, w in enumerate(own)]
+        texts += [f"{passage} {' '.join(own)}", f"{passage} {' '.join(copy)}"]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("cell", [1000, 7])
+def test_links_that_only_crowded_buckets_hold(spark, monkeypatch, cell):
+    monkeypatch.setattr(N, "CELL_ROWS", cell, raising=False)
+    rows = passage_with_copies(random.Random(11), 30)
+    expected = classes(rows)
+    assert expected == {i: i - i % 2 for i, _ in rows}
+    assert found(spark, rows) == expected
+
+
 def test_share_of_edited_copies_that_is_found(spark):
     """Copies with words replaced, dropped and put in at random; 4 to 10 % of them."""
     rng = random.Random(9)
