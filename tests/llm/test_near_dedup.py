@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from stratavec.llm import near_dedup as N
 from stratavec.llm.components import connected_components
 from stratavec.llm.hashing import texts_words
@@ -76,6 +77,12 @@ def test_links_that_only_crowded_buckets_hold(spark, monkeypatch, cell):
     assert found(spark, rows) == expected
 
 
+def test_the_pipelines_stage_drops_copies_in_crowded_buckets(spark):
+    rows = passage_with_copies(random.Random(12), 30)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, [t for _, t in rows]), "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == rows[::2]
+
+
 def test_share_of_edited_copies_that_is_found(spark):
     """Copies with words replaced, dropped and put in at random; 4 to 10 % of them."""
     rng = random.Random(9)
