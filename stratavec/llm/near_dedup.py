@@ -20,8 +20,8 @@ part that is still large has a pivot of its own. This only merges cheaply what i
 The rest of the crowded buckets, those that hold several components even then, is joined exactly: all pairs of their texts
 of different components that can be similar are verified. Similar texts have so many words in common (repeated words
 counted as often as both have them) that, all words in one fixed order, rare ones first, their first fifths have one in
-common, and at places that leave enough words behind (prefix and position filter). A word's list is dealt to cells of
-CELL_ROWS by CELL_ROWS rows, but never the largest component of a list against itself. Pairs whose lengths rule the
+common, and at places that leave enough words behind (prefix and position filter). A word's list of over CELL_ROWS rows is
+dealt to cells of CELL_ROWS by CELL_ROWS rows, but never the largest component of such a list against itself. Pairs whose lengths rule the
 similarity out are dropped beforehand, which is exact.
 
 Verification aligns words: by a longest increasing subsequence where none of them repeats, else by a bit-parallel common
@@ -62,8 +62,8 @@ SHORT_WIDTH, SHORT_REPEATS, SHORT_SIZE = 2, 24, 3
 #: Words: texts under SHORT have tuples of word pairs, those from LONG tuples of shingles.
 SHORT, LONG = 64, 48
 CROWD = 16
-#: Of a word's list in the exact join; counters that order the words.
-CELL_ROWS, SLOTS = 1000, 1 << 16
+#: Of a word's list in the exact join; counters that order the words; words with longer lists than a cell, at most.
+CELL_ROWS, SLOTS, HOT_WORDS = 1000, 1 << 16, 100_000
 BLOCK_ROWS, BLOCK_WORDS = 100, 200_000
 SLICE_BYTES = 300_000
 
@@ -368,17 +368,50 @@ def rare_words(rest: DataFrame, counts: np.ndarray) -> DataFrame:
     return rest.select("node", "root", "text").mapInArrow(run, "word bigint, place int, node binary, root binary, n_words int")
 
 
+def long_lists(words: DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Of the words with more rows than a cell has, in order: the word, its most frequent root, and into how many blocks its
+    other rows (0 if it has none) and those of that root are dealt. Cells grow with the table, so that these words are HOT_WORDS
+    at most."""
+    cell = max(CELL_ROWS, -(-words.count() // HOT_WORDS))
+    per_root = words.groupBy("word", "root").agg(F.count("*").alias("n"))
+    lists = per_root.groupBy("word").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where(F.col("n") > cell)
+    found = sorted(lists.select("word", F.col("main.root").alias("root"), (F.col("n") - F.col("main.n")).alias("others"), F.col("main.n").alias("mains")).collect())
+    blocks = lambda column: -(-np.array([r[column] for r in found], np.int64) // cell)
+    return np.array([r[0] for r in found], np.int64), [bytes(r[1]) for r in found], blocks("others"), blocks("mains")
+
+
+def dealt_words(words: DataFrame) -> DataFrame:
+    """words with block, others, mains: the block of its list that a row is in, and how many the list has of other roots and,
+    beyond these, of its most frequent root. Short lists are one block; long ones of one root, which have no pairs, are left out.
+
+    The long lists are looked up in a broadcast, as a join would shuffle and give every row of the table for them."""
+    shared = words.sparkSession.sparkContext.broadcast(long_lists(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long, main, others, mains = shared.value
+        for part in batches:
+            n = part.num_rows
+            block, n_others, n_mains = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
+            rows = np.flatnonzero(np.isin(part.column(0).to_numpy(), long))
+            if len(rows):
+                at = np.searchsorted(long, part.column(0).to_numpy()[rows])
+                node = np.frombuffer(b"".join(part.column(2).take(pa.array(rows)).to_pylist()), np.uint64)[::2]  # of 16 bytes
+                is_main = np.array([root == main[k] for root, k in zip(part.column(3).take(pa.array(rows)).to_pylist(), at.tolist())])
+                of_main, of_others = (node % blocks[at].clip(1).astype(np.uint64) for blocks in (mains, others))
+                block[rows] = np.where(is_main, others[at] + of_main.astype(np.int64), of_others.astype(np.int64))
+                n_others[rows], n_mains[rows] = others[at], mains[at]
+            columns = [*part.columns, *(pa.array(c, pa.int32()) for c in (block, n_others, n_mains))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "block", "others", "mains"]).filter(pa.array(n_others > 0))
+
+    columns = words.select("word", "place", "node", "root", "n_words")
+    return columns.mapInArrow(run, "word bigint, place int, node binary, root binary, n_words int, block int, others int, mains int")
+
+
 def pairs_of_rare_words(words: DataFrame) -> DataFrame:
     """pivot, node, n_words: all pairs of texts of different roots that may be similar by a rare word of both; distinct.
 
-    Of a word's list, the rows of its most frequent root (blocks from `others` on) meet the others only."""
-    per_root = words.groupBy("word", "root").agg(F.count("*").alias("n"))
-    lists = per_root.groupBy("word").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
-    blocks = lambda n: F.ceil(n / CELL_ROWS).cast("int")
-    lists = lists.select("word", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
-    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    block = F.when(F.col("root") == F.col("main"), F.col("others") + dealt("mains")).otherwise(dealt("others"))
-    rows = saved(words.join(lists, "word").withColumn("block", block).drop("main"), "cells")
+    Of a long list, the rows of its most frequent root (blocks from `others` on) meet the others only."""
+    rows = saved(dealt_words(words), "cells")
     of = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "n_words", "place")]
     a = rows.where("block < others").select("word", F.col("block").alias("low"), F.explode(F.expr("sequence(block, others + mains - 1)")).alias("high"), *of("a"))
     b = rows.select("word", F.explode(F.expr("sequence(0, least(block, others - 1))")).alias("low"), F.col("block").alias("high"), *of("b"))

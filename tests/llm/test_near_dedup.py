@@ -77,6 +77,25 @@ def test_links_that_only_crowded_buckets_hold(spark, monkeypatch, cell):
     assert found(spark, rows) == expected
 
 
+@pytest.mark.parametrize("cell, hot", [(1000, 100_000), (8, 100_000), (8, 3)])
+def test_rare_words_meet_in_one_join_by_cells(spark, monkeypatch, cell, hot):
+    """All pairs of different roots come out, whether lists are long or short, and no join has a row for each row of the words."""
+    rng = random.Random(13)
+    rows = [(w, rng.randrange(4), bytes([i]) * 16, bytes([root]) * 16, 20) for w, n, roots in [(1, 60, 60), (2, 60, 2), (-3, 40, 1), (4, 5, 5), (5, 3, 1), (6, 9, 2)] for i in range(n) for root in [i % roots if roots != 2 else int(i < 4)]]
+    plans, write = [], N.saved
+    monkeypatch.setattr(N, "CELL_ROWS", cell)
+    monkeypatch.setattr(N, "HOT_WORDS", hot, raising=False)
+    monkeypatch.setattr(N, "saved", lambda df, name: plans.append(df) or write(df, name))
+    words = spark.createDataFrame(rows, "word bigint, place int, node binary, root binary, n_words int")
+    pairs = N.pairs_of_rare_words(words)
+    enough = lambda x, y: min(x[4] - x[1], y[4] - y[1]) >= 0.8 / 1.8 * (x[4] + y[4]) - 1e-6
+    expected = {frozenset((x[2], y[2])) for x in rows for y in rows if x[0] == y[0] and x[3] != y[3] and enough(x, y)}
+    got = [frozenset((bytes(r.pivot), bytes(r.node))) for r in pairs.collect()]
+    assert set(got) == expected and len(expected) > 1000
+    joins = [line for df in [*plans, pairs] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 1 and "low" in joins[0] and "high" in joins[0]
+
+
 def test_the_pipelines_stage_drops_copies_in_crowded_buckets(spark):
     rows = passage_with_copies(random.Random(12), 30)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, [t for _, t in rows]), "")
