@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import discard, saved, scratch_path, shared_dir
 
-__all__ = ["broadcast_bytes", "broadcast_if_small", "discard", "filter_rows", "map_rows", "saved", "scratch_path", "shared_dir", "slices", "table"]
+__all__ = ["broadcast_bytes", "broadcast_if_small", "discard", "filter_rows", "map_rows", "release_memory", "saved", "scratch_path", "shared_dir", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,14 @@ def slices(batches: Iterator[pa.RecordBatch], bytes_at_once: int) -> Iterator[pa
             yield batch.slice(at, step)
 
 
+def release_memory() -> None:
+    """Gives back to the system what this process has freed. Spark's Python workers go from task to task and from query to
+    query, and what the allocators of earlier ones hold counts to the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, each: Callable[..., Iterator[tuple]], setup: Callable | None = None, bytes_at_once: int = 8_000_000) -> DataFrame:
     """Rows of df, as lists of the named columns, through each(state, *lists) -> rows of schema.
 

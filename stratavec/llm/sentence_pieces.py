@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, slices, table
+from .common import broadcast_bytes, release_memory, slices, table
 from .hashing import K1, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -41,7 +41,7 @@ SHARPNESS = 0.4
 #: Stand inside the lattice for a literal mark of the text and for the gap between words. Lone surrogates are in no text.
 _LITERAL, _GAP = "\ud800", "\ud801"
 VOCABULARY_BYTES = 16_000_000
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 #: Lattices of words are kept between slices up to about so many edges.
 KEPT_EDGES = 2_500_000
 LATTICE_WORDS = 10_000
@@ -247,6 +247,7 @@ def sample_pieces(docs: DataFrame, model: str = MODEL, sharpness: float = SHARPN
     shared = broadcast_bytes(docs.sparkSession, vocabulary, sum(len(p.encode()) + 16 for _, p, _ in vocabulary), VOCABULARY_BYTES, "vocabulary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         sampler = Sampler(shared.value, sharpness, seed)
         for part in slices(batches, SLICE_BYTES):
             texts = part.column(1).to_pylist()

@@ -2,12 +2,16 @@
 
 import itertools
 import math
+import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratavec.llm import sentence_pieces as S
+from stratavec.llm.common import release_memory, slices
 from tests.llm.helpers import docs_of
 
 TOY = [(i, p, False) for i, p in enumerate(["a", "b", "▁", "ab", "ba", "▁a", "aba", "▁▁"])] + [(10 + v, f"<0x{v:02X}>", True) for v in range(256)]
@@ -106,3 +110,29 @@ def test_repeated_rows_and_extra_columns(spark):
     got = S.sample_pieces(docs).orderBy("doc_id").collect()
     assert got[0].ids == got[1].ids and all(r.lossless for r in got)
     assert S.sample_pieces(docs_of(spark, [])).count() == 0
+
+
+def test_memory_of_a_slice_and_what_a_worker_gives_back():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = [f"{'abcdefghij'[i % 10]}{i}" for i in range(3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 3000, 400)) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(texts)], names=["doc_id", "text"])
+    sampler = S.Sampler(S.read_vocabulary())
+    sampler.encode([0], [" ".join(["", *words])])  # lattices are known: what follows is a slice's own
+    tracemalloc.start()
+    try:
+        for part in slices([batch], S.SLICE_BYTES):
+            sampler.encode(part.column(0).to_pylist(), part.column(1).to_pylist())
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    finally:
+        tracemalloc.stop()
+
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+    blocks = [bytes(1000) for _ in range(100_000)]
+    few = blocks[::50]  # pins the heap's end
+    del blocks
+    before = held()
+    release_memory()
+    assert before - held() > 50_000 and len(few) == 2000
