@@ -63,3 +63,14 @@ def test_entry_module_imports(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("rows", [4999, 5000, 5001, 6000])
+def test_finish_padded_on_more_suppliers_than_positions(spark, tmp_path, rows):
+    keys = f"SELECT (i * 7919) % {rows} AS s_suppkey, CASE WHEN i % 50 > 0 THEN CAST(i % 25 AS INTEGER) END AS s_nationkey FROM range({rows}) t(i)"
+    with duckdb.connect() as c:
+        c.execute(f"COPY ({keys}) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+        expected = sorted(c.execute(registry.ORACLE_SQL["finish_padded"]).fetchall())
+    got = registry.QUERIES["finish_padded"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("pos", "v").collect()) == expected and len(expected) == 5000
