@@ -7,6 +7,7 @@ import struct
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratavec.functions.model import InvalidFormat, InputTooShort, InvalidNumRows, WrongVectorType
 from stratavec.operators import encoding as E
@@ -165,3 +166,51 @@ def test_float_sizes_agree_with_bytes(spark, n):
     assert E.float_vector_stats(make(spark, v, "float")).first().bytes == len(data)
     with_nan = make(spark, [0.0, float("nan")] + [0.0] * 254 + [2.5] * 256, "float")
     assert [r.bytes for r in E.float_section_bytes(with_nan).orderBy("sect").collect()][1] == 5
+
+
+def counted(kind):
+    """A function that makes objects of a class under kind, and a list with the number of those that are alive."""
+    alive = [0]
+
+    class Counted(kind):
+        def __del__(self):
+            alive[0] -= 1
+
+    def make_one(content):
+        alive[0] += 1
+        return Counted(content)
+
+    return make_one, alive
+
+
+def test_few_encoded_sections_are_held_at_a_time(spark):
+    make_one, alive = counted(bytes)
+    df = spark.range(0, 256 * 1500, 1, 1).select(F.lit("v").alias("vec"), F.col("id").alias("pos"), F.col("id").alias("v")).coalesce(1)
+    encoded = C.encode_sections(df, "u64", lambda kind, v: make_one(alive[0].to_bytes(4)))
+    held = [int.from_bytes(r.encoded) for r in encoded.collect()]
+    assert len(held) == 1500 and max(held) <= C.SECTIONS_AT_ONCE
+
+
+def test_few_unpacked_lists_are_held_at_a_time(spark, monkeypatch):
+    make_one, alive = counted(list)
+    monkeypatch.setitem(C.STREAMS, "double", (C.STREAMS["double"][0], lambda data, n: make_one([float(alive[0])] * n)))
+    df = spark.range(0, 1500, 1, 1).select("id", F.lit(C.pack_doubles([1.5] * 256)).alias("packed"), F.lit(256).alias("n"))
+    held = [r.unpacked[0] for r in C.unpack_streams(df, "packed", "n", "double").collect()]
+    assert len(held) == 1500 and max(held) <= C.SECTIONS_AT_ONCE
+
+
+def test_pieces():
+    n = C.ELEMENTS_AT_ONCE
+    assert list(C.pieces([])) == [] and list(C.pieces([0])) == [(0, 1)] and list(C.pieces([None, n, 1])) == [(0, 2), (2, 3)]
+    assert list(C.pieces([3 * n, 1, n - 1, 1, 2 * n])) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+
+
+@pytest.mark.parametrize("form", ["plain", "delta", "double"])
+def test_streams_of_any_length_in_pieces(spark, form):
+    kind = "double" if form == "double" else "bigint"
+    number = float if form == "double" else int
+    lists = [[number(i + k) for i in range(n)] for k, n in enumerate([0, 1, 70_000, 8, 300, 0, 66_000] + [256] * 600)]
+    lists[3:3] = [None]
+    df = spark.createDataFrame(list(enumerate(lists)), f"id int, l array<{kind}>").coalesce(1).withColumn("n", F.size("l"))
+    back = C.unpack_streams(C.pack_streams(df, "l", form), "packed", "n", form)
+    assert [r.unpacked for r in back.orderBy("id").collect()] == lists
